@@ -1,11 +1,11 @@
-"""The queries of exact dedup, sharding and line dedup, with their SQL."""
+"""The queries of sharding, chat formatting, line dedup and exact dedup, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, sharding
+from . import chat, exact_dedup, line_dedup, sharding
 from .common import table
 
 
@@ -31,5 +31,36 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op5_sharding": op5_sharding, "op9_exact_dedup": op9_exact_dedup}
-ORACLES = {"op9_exact_dedup": OP9_SQL}
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.segments(turns.unionByName(probe)))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose key stands in ten documents or more."""
+    kept = line_dedup.without_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+with l as (
+  select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as pos
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents)
+), k as (
+  select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
+), f as (
+  select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10
+)
+select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.key is null), '')) as kept_sha256
+from k left join f on k.key = f.key group by doc_id
+"""
+
+QUERIES = {"op5_sharding": op5_sharding, "op6_chat_formatting": op6_chat_formatting, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup}
+ORACLES = {"op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
