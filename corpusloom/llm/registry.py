@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_data, queries_near, queries_prints, queries_tokens
+from . import queries_data, queries_models, queries_near, queries_prints, queries_tokens
 
-MODULES = (queries_data, queries_tokens, queries_near, queries_prints)
+MODULES = (queries_data, queries_tokens, queries_near, queries_prints, queries_models)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
