@@ -2,9 +2,9 @@
 
 A chunk of documents is cut into words by the tokenizer's pattern, and only the words that the
 chunk is the first of its partition to show go on to the merges. These are a fold in Spark
-higher-order functions: a word starts as the array of the ids of its bytes; each step looks up
-the rank of every adjacent pair in a literal rank map, and replaces the first pair of the least
-rank by the id of their union, until no pair has a rank. (In a rank file the id of a piece is its
+higher-order functions: a word starts as the array of the ids of its bytes, with the ranks of all
+adjacent pairs from a literal rank map; each step replaces the first pair of the least rank by the
+id of their union and looks up the two new pairs, until no pair has a rank. (In a rank file the id of a piece is its
 rank.) The ids of the words are then put together again document by document, in the same task;
 no word is shuffled. Decoding concatenates the binary pieces of the ids.
 
@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import text_rows
 
-CHUNK_BYTES, KNOWN_WORDS, SLOTS = 4 << 20, 400_000, 1 << 19
-CHUNK = "fresh boolean, words array<binary>, doc_ids array<long>, lengths array<int>, refs binary"
+CHUNK_BYTES, KNOWN_WORDS, SLOTS, END = 2 << 20, 300_000, 1 << 18, 65_535
+CHUNK = "fresh boolean, words array<array<bigint>>, doc_ids array<long>, lengths array<int>, refs binary"
 
 
 @lru_cache(maxsize=4)
@@ -54,31 +56,32 @@ def merges(table: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
                 yield left, right, rank
 
 
-def _first(left, right):
-    """One slot of a pair of ids; the same arithmetic in Python and in Spark."""
-    return (left * 40_503 * 2_654_435 + right * 25_214_903) % 1_000_000_007 % SLOTS
+def _first(key):
+    """One slot of a pair, from its key ``left << 16 | right``; the same arithmetic in Python and in Spark."""
+    return key * 1_540_483_477 // (1 << 24) % SLOTS
 
 
-def _second(left, right):
+def _second(key):
     """The other slot."""
-    return (left * 69_069 * 1_664_525 + right * 22_695_477) % 998_244_353 % SLOTS
+    return key * 1_181_783_497 // (1 << 21) % SLOTS
 
 
 @lru_cache(maxsize=2)
 def _table(path: str) -> str:
-    """The slots as decimal numbers joined by commas."""
-    slots: list[tuple[int, int, int] | None] = [None] * SLOTS
-    for entry in merges(ranks(path)):
-        at = _first(*entry[:2])
+    """The slots as decimal numbers joined by commas; an empty slot holds a number that matches no key."""
+    slots: list[tuple[int, int] | None] = [None] * SLOTS
+    for left, right, rank in merges(ranks(path)):
+        entry = (left << 16 | right, rank)
+        at = _first(entry[0])
         for _ in range(10_000):
             slots[at], entry = entry, slots[at]
             if entry is None:
                 break
-            one, two = _first(*entry[:2]), _second(*entry[:2])
+            one, two = _first(entry[0]), _second(entry[0])
             at = two if at == one else one
         else:
             raise ValueError("the rank file needs a larger table")
-    return ",".join("-1" if x is None else str((x[0] << 16 | x[1]) << 16 | x[2]) for x in slots)
+    return ",".join(str(1 << 48) if x is None else str(x[0] << 16 | x[1]) for x in slots)
 
 
 def rank_map(path: str) -> Column:
@@ -86,67 +89,89 @@ def rank_map(path: str) -> Column:
     return F.split(F.lit(_table(path)), ",").cast("array<bigint>")
 
 
-def _rank(table: Column, left: Column, right: Column) -> Column:
-    """The rank of a pair; null if their union is no piece."""
-    key = F.shiftleft(left, 16).bitwiseOR(right)
-    one, two = F.get(table, _first(left, right).cast("int")), F.get(table, _second(left, right).cast("int"))
-    return F.when(F.shiftright(one, 16) == key, one.bitwiseAND(F.lit(0xFFFF))).when(F.shiftright(two, 16) == key, two.bitwiseAND(F.lit(0xFFFF)))
+def _ranks(keys: Column, table: Column) -> Column:
+    """Of each pair the rank of its union; a number of 65,536 or more if that is no piece."""
 
+    def one(key: Column) -> Column:
+        wanted = F.shiftleft(key, 16)
+        slots = (F.shiftright(key * 1_540_483_477, 24), F.shiftright(key * 1_181_783_497, 21))
+        return F.least(*(F.get(table, slot.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseXOR(wanted) for slot in slots))
 
-def merged(word: Column, table: Column, byte_ids: Column) -> Column:
-    """The ids of a word (binary): the fold of ranked merges over its bytes."""
-    n = F.octet_length(word)
-    start = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(byte_ids, F.conv(F.hex(F.substring(word, i, F.lit(1))), 16, 10).cast("int")))
+    return F.transform(keys, one)
 
-    def step(ids: Column) -> Column:
-        pairs = F.zip_with(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(1))), F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(1))), lambda a, b: _rank(table, a, b))
-        return F.get(F.transform(F.array(F.struct(ids.alias("ids"), pairs.alias("ranks"))), _best), 0)
 
-    def _best(x: Column) -> Column:
-        return F.get(F.transform(F.array(F.struct(x["ids"].alias("ids"), x["ranks"].alias("ranks"), F.array_min(x["ranks"]).alias("rank"))), _replace), 0)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def _replace(x: Column) -> Column:
-        at = F.array_position(x["ranks"], x["rank"]).cast("int")
-        union = F.concat(F.slice(x["ids"], F.lit(1), at - 1), F.array(x["rank"]), F.slice(x["ids"], at + 2, F.greatest(F.size(x["ids"]) - at - 1, F.lit(0))))
-        return F.struct(F.when(x["rank"].isNull(), x["ids"]).otherwise(union).alias("ids"), x["rank"].isNull().alias("done"))
 
-    first = F.struct(start.alias("ids"), (n < 2).alias("done"))
-    return F.aggregate(F.sequence(F.lit(1), n), first, lambda acc, _: F.when(acc["done"], acc).otherwise(step(acc["ids"])), lambda acc: acc["ids"])
+def merged(word: Column, table: Column) -> Column:
+    """The ids of a word, given as the ids of its bytes between two ``END``s: the fold of its ranked merges.
 
+    The accumulator holds the ids and the ranks of all adjacent pairs; a merge looks up its two
+    new pairs only.
+    """
 
-def _chunks(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def key(left: Column, right: Column) -> Column:
+        return F.shiftleft(left, 16).bitwiseOR(right)
+
+    def replaced(ids: Column, pairs: Column, rank: Column, at: Column) -> Column:
+        fresh = _ranks(F.array(key(F.get(ids, at - 2), rank), key(rank, F.get(ids, at + 1))), table)
+        return F.struct(
+            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(rank), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+            F.concat(F.slice(pairs, F.lit(1), at - 2), fresh, F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"),
+        )
+
+    def step(acc: Column) -> Column:
+        least = F.array_min(acc["pairs"])
+        return _let(least, lambda rank: F.when(rank >= 65_536, acc).otherwise(_let(F.array_position(acc["pairs"], rank).cast("int"), lambda at: replaced(acc["ids"], acc["pairs"], rank, at))))
+
+    n = F.size(word)
+    pairs = _ranks(F.zip_with(F.slice(word, F.lit(1), n - 1), F.slice(word, F.lit(2), n - 1), key), table)
+    first = F.struct(word.alias("ids"), pairs.alias("pairs"))
+    # A word of n bytes merges n - 1 times at most.
+    folded = F.aggregate(F.slice(word, F.lit(1), n - 3), first, lambda acc, _: step(acc), lambda acc: acc["ids"])
+    return F.when(n > 3, _let(folded, lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2))).otherwise(F.slice(word, F.lit(2), F.lit(1)))
+
+
+def _chunks(pattern: str, byte_ids: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        known: dict[str, int] = {}
+        number = np.array([*byte_ids, END], np.int64)
+        known: defaultdict[str, int] = defaultdict(count().__next__)
         ids: list[int | None] = []
         lengths: list[int] = []
         refs: list[np.ndarray] = []
-        state = {"size": 0, "sent": 0, "fresh": True}
+        sent, size, fresh = 0, 0, True
 
         def out() -> pa.RecordBatch:
-            words = [w.encode("utf-8", "surrogatepass") for w in list(known)[state["sent"] :]] if state["sent"] else [w.encode("utf-8", "surrogatepass") for w in known]
-            row = [pa.array([state["fresh"]]), pa.array([words], pa.list_(pa.binary())), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([np.concatenate(refs).tobytes() if refs else b""], pa.binary())]
-            state["fresh"] = len(known) > KNOWN_WORDS
-            if state["fresh"]:
-                known.clear()
-            state.update(size=0, sent=len(known))
-            ids.clear()
-            lengths.clear()
-            refs.clear()
+            words = [w.encode("utf-8", "surrogatepass") for w in islice(known, sent, None)]
+            n = np.fromiter(map(len, words), np.int64, len(words)) + 2
+            ends = np.concatenate([[0], n.cumsum()])
+            flat = np.full(ends[-1], 256, np.int64)
+            inner = np.ones(ends[-1], bool)
+            inner[ends[:-1]] = inner[ends[1:] - 1] = False
+            flat[inner] = np.frombuffer(b"".join(words), np.uint8)
+            coded = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number[flat]))
+            row = [pa.array([fresh]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), coded), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([np.concatenate(refs).tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(row, names=["fresh", "words", "doc_ids", "lengths", "refs"])
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 words = find(text)
-                set_default = known.setdefault
-                refs.append(np.fromiter((set_default(w, len(known)) for w in words), np.int32, len(words)))
+                refs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
                 ids.append(doc_id)
                 lengths.append(len(words))
-                state["size"] += len(text)
-                if state["size"] >= CHUNK_BYTES:
+                size += len(text)
+                if size >= CHUNK_BYTES:
                     yield out()
+                    fresh = len(known) > KNOWN_WORDS
+                    if fresh:
+                        known = defaultdict(count().__next__)
+                    sent, size = len(known), 0
+                    ids.clear(), lengths.clear(), refs.clear()
         if ids:
             yield out()
 
@@ -160,9 +185,9 @@ def _assembled(finish: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in batches:
             for row in range(batch.num_rows):
                 coded = batch["coded"][row].values
-                values = coded.values.to_numpy(zero_copy_only=False).astype(np.int32)
-                ends = np.diff(coded.offsets.to_numpy()).cumsum()
-                values = values[-int(ends[-1]) :] if len(ends) and ends[-1] else values[:0]
+                offsets = coded.offsets.to_numpy().astype(np.int64)
+                values = coded.values[offsets[0] : offsets[-1]].to_numpy(zero_copy_only=False).astype(np.int32)
+                ends = offsets[1:] - offsets[0]
                 if batch["fresh"][row].as_py():
                     flat, starts = np.empty(0, np.int32), np.zeros(1, np.int64)
                 starts = np.concatenate([starts, starts[-1] + ends])
@@ -180,10 +205,9 @@ def _assembled(finish: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def _coded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
     table = ranks(path)
-    byte_ids = F.split(F.lit(",".join(str(table[bytes([i])]) for i in range(256))), ",").cast("array<bigint>")
-    chunks = text_rows(docs, id_col, text_col).mapInArrow(_chunks(pattern), CHUNK)
+    chunks = text_rows(docs, id_col, text_col).mapInArrow(_chunks(pattern, [table[bytes([i])] for i in range(256)]), CHUNK)
     lookup = rank_map(path)
-    return chunks.select("fresh", F.transform("words", lambda w: merged(w, lookup, byte_ids)).alias("coded"), "doc_ids", "lengths", "refs")
+    return chunks.select("fresh", F.transform("words", lambda w: merged(w, lookup)).alias("coded"), "doc_ids", "lengths", "refs")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
