@@ -11,14 +11,16 @@ documents with a probability of their weighted Jaccard similarity. The variates
 shingle) come from fixed tables at a hashed place. Nodes whose samples agree in a whole band
 share a bucket.
 
-Within a bucket the node of the least digest leads, and every other node is verified against it
-by the weighted Jaccard similarity of their whole texts. Nodes that fail are grouped again among
-themselves, under a new leader, until every node of every bucket has led or been linked; so a
-bucket costs as many comparisons as it has nodes for each of its leaders and never all pairs, and
-none is capped. Links become classes as connected components.
+Within a bucket the most central node leads, the one whose buckets hold most nodes together, and
+every other node is verified against it by the weighted Jaccard similarity of their whole texts.
+In a group of near copies that is nearly always the text that the others were made from, so a
+group of any size costs as many comparisons as it has nodes.
 
-Not compared are two nodes of one bucket of which one is linked to the leader and the other is
-not, unless another band brings them together.
+Nodes that fail are compared with every node of their bucket, by their samples first: blocks of at
+most ``BLOCK_NODES`` of them meet blocks of all nodes of the bucket, and the pairs whose share of
+equal samples is ``LEAST_ESTIMATE`` or more (three standard deviations below the threshold) are
+verified by their texts too. No bucket, partner or candidate is capped. Links become classes as
+connected components.
 
 Defined results: a null text is empty; empty texts form one class; a class is named by its
 least non-null id (null if it has none); rows that repeat an id keep their own classes, and all
@@ -40,6 +42,7 @@ from .components import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
 DF_BUCKETS, SLICES, SALTS = 1 << 21, 64, 16
+BLOCK_NODES, LEAST_ESTIMATE = 2_048, 0.64
 _VARIATES = 1 << 16
 _BLOCK = 1 << 14
 
@@ -107,9 +110,9 @@ class Sampler:
             out[better] = found[better]
         return out
 
-    def bands(self, hashes: np.ndarray, weight: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    def bands(self, samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
         """One key for each band of ``rows`` samples."""
-        samples = self(hashes, weight).reshape(-1, rows)
+        samples = samples.reshape(-1, rows)
         key = np.zeros(len(samples), np.uint64)
         for k in range(rows):
             key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + samples[:, k])
@@ -159,14 +162,16 @@ def _sampled(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(), idf.value
         for batch in batches:
-            keys = []
+            keys, marks = [], []
             for text in batch["text"].to_pylist():
                 hashes, counts = shingles(text)
-                keys.append(sampler.bands(hashes, weights(hashes, counts, table)))
+                samples = sampler(hashes, weights(hashes, counts, table))
+                keys.append(sampler.bands(samples))
+                marks.append((samples >> np.uint64(48)).astype("<u2").tobytes())
             n = len(keys)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], bands], names=["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], bands, pa.array(marks, pa.binary())], names=["doc_id", "node", "bands", "samples"])
 
     return run
 
@@ -196,35 +201,72 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return text_rows(docs, id_col, text_col).select("doc_id", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("node"), "text")
 
 
+def _estimated(_: tuple, rows: pa.Table) -> pa.Table:
+    """A block of failed nodes against a block of the nodes of their bucket: the pairs that their samples leave open."""
+    marks = np.frombuffer(b"".join(rows["samples"].to_pylist()), "<u2").reshape(rows.num_rows, -1)
+    failed = np.flatnonzero(rows["failed"].to_numpy(zero_copy_only=False))
+    others = np.flatnonzero(~rows["failed"].to_numpy(zero_copy_only=False))
+    nodes, ids = rows["node"], rows["id"]
+    left, right = [], []
+    for at in failed.tolist():
+        share = (marks[others] == marks[at]).mean(axis=1)
+        near = others[share >= LEAST_ESTIMATE]
+        left += [at] * len(near)
+        right += near.tolist()
+    u, v = nodes.take(pa.array(left, pa.int64())), nodes.take(pa.array(right, pa.int64()))
+    return pa.table({"node": u, "id": ids.take(pa.array(left, pa.int64())), "head": v, "head_id": ids.take(pa.array(right, pa.int64()))})
+
+
+_PAIRS = "node binary, id long, head binary, head_id long"
+
+
+def _rest(shared: DataFrame, failed: DataFrame, samples: DataFrame) -> DataFrame:
+    """The open pairs (node, id, head, head_id) of failed nodes with all nodes of their buckets."""
+    bad = failed.join(shared, (shared.node == failed.n) & (shared.leader == failed.l)).select("band", "key", "node", "id")
+    sizes = bad.groupBy("band", "key").agg(F.count("*").alias("n_failed"))
+    everyone = shared.select("band", "key", "node", "id").join(sizes, ["band", "key"])
+    counts = everyone.groupBy("band", "key").agg(F.first("n_failed").alias("n_failed"), F.count("*").alias("n"))
+    lefts, rights = F.ceil(F.col("n_failed") / BLOCK_NODES).cast("int"), F.ceil(F.col("n") / BLOCK_NODES).cast("int")
+    own, every = F.pmod(F.xxhash64("node"), lefts).cast("int"), F.pmod(F.xxhash64("node"), rights).cast("int")
+    left = bad.join(counts, ["band", "key"]).select("band", "key", "node", "id", F.lit(True).alias("failed"), own.alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"))
+    right = everyone.drop("n_failed").join(counts, ["band", "key"]).select("band", "key", "node", "id", F.lit(False).alias("failed"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), every.alias("j"))
+    marks = samples.select(F.col("node").alias("marked"), "samples")
+    blocks = left.unionByName(right).join(marks, F.col("node") == F.col("marked")).drop("marked")
+    return blocks.groupBy("band", "key", "i", "j").applyInArrow(_estimated, _PAIRS).where("node != head").distinct()
+
+
 def near_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """``rows`` (doc_id, node, text): the rows without text, and the verified links (u, v) between nodes."""
     spark = rows.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))  # DF_BUCKETS numbers of four bytes
-    sampled = written(rows.mapInArrow(_sampled(idf), "doc_id long, node binary, bands array<long>"), "samples")
+    sampled = written(rows.mapInArrow(_sampled(idf), "doc_id long, node binary, bands array<long>, samples binary"), "samples")
     nodes = sampled.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    entries = nodes.select(F.struct("node", "id").alias("member"), F.posexplode("bands").alias("band", "key"))
-    shared = written(_led(entries), "buckets")
-    texts = rows.select("node", F.col("doc_id").alias("id"), "text")
-    links = None
-    while shared.limit(1).count():
-        pairs = shared.select("member", "leader").where("member.node != leader.node").distinct()
-        own = pairs.select("member.node", "member.id", "leader")
-        with_text = own.join(texts, (own.node == texts.node) & own.id.eqNullSafe(texts.id)).select(own.node, "leader", "text")
-        heads = texts.select(F.col("node").alias("head"), F.col("id").alias("head_id"), F.col("text").alias("leader_text"))
-        both = with_text.join(heads, (F.col("leader.node") == heads["head"]) & F.col("leader.id").eqNullSafe(heads.head_id))
-        judged = written(both.select("node", F.col("leader.node").alias("leader"), "text", "leader_text").mapInArrow(_verified(idf, least), "node binary, leader binary, linked boolean").distinct(), "verified")
-        found = judged.where("linked").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-        links = found if links is None else links.unionByName(found)
-        failed = judged.where("not linked").select(F.col("node").alias("n"), F.col("leader").alias("l"))
-        again = shared.join(failed, (F.col("member.node") == F.col("n")) & (F.col("leader.node") == F.col("l"))).select("member", "band", "key")
-        shared = written(_led(again), "buckets")
-    return sampled.select("doc_id", "node"), links if links is not None else sampled.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
-
-
-def _led(entries: DataFrame) -> DataFrame:
-    """The members of every bucket of two nodes or more, with its leader."""
-    leaders = entries.groupBy("band", "key").agg(F.min("member").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return entries.join(leaders, ["band", "key"]).select("member", "band", "key", "leader")
+    entries = nodes.select("node", "id", F.posexplode("bands").alias("band", "key"))
+    sizes = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = written(entries.join(sizes, ["band", "key"]), "buckets")
+    central = written(buckets.groupBy("node", "id").agg(F.sum("n").alias("central")), "candidates")
+    ranked = buckets.join(central.select("node", "central"), "node")
+    leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("central", "node", "id")).alias("top")).select("band", "key", F.col("top.node").alias("leader"), F.col("top.id").alias("leader_id"))
+    shared = written(buckets.join(leaders, ["band", "key"]).select("band", "key", "node", "id", "leader", "leader_id"), "led")
+    wanted = central.select(F.col("node").alias("wanted"), F.col("id").alias("wanted_id"))
+    texts = rows.join(wanted, (rows.node == wanted.wanted) & rows.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "text")
+    texts = written(texts.dropDuplicates(["node"]), "candidate-texts")
+    samples = sampled.join(wanted, (sampled.node == wanted.wanted) & sampled.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "samples").dropDuplicates(["node"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """``pairs`` (node, head) judged by their texts: node, leader, linked."""
+        heads = texts.select(F.col("node").alias("head"), F.col("text").alias("leader_text"))
+        both = pairs.join(texts, "node").join(heads, "head").select("node", F.col("head").alias("leader"), "text", "leader_text")
+        return written(both.mapInArrow(_verified(idf, least), "node binary, leader binary, linked boolean"), "verified")
+
+    judged = verified(shared.where("node != leader").select("node", F.col("leader").alias("head")).distinct())
+    failed = judged.where("not linked").select(F.col("node").alias("n"), F.col("leader").alias("l"))
+    tried = judged.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    pairs = _rest(shared, failed, samples).select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head")).distinct()
+    seen = tried.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("head")).distinct()
+    rest = verified(pairs.join(seen, ["node", "head"], "left_anti"))
+    links = judged.where("linked").unionByName(rest.where("linked")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    return sampled.select("doc_id", "node"), links
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
