@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .latex import TAG_FIELDS
+
 # Glyphs that symbol fonts leave behind, ligatures, running lines.
 BANK_GLYPHS = "§¨©ª«¬®¯±³´¶·¸¹º»¼½¾¿¦"
 JUNK = r"[\x00-\x09\x0b-\x1f\x7f-\x9f\xadഀ-ൿ-]"
@@ -129,7 +131,7 @@ def page_provenance(tag: str | None) -> dict:
     return out
 
 
-@F.pandas_udf("year int, school string, level string, exam string, paper string, question_no string")
+@F.pandas_udf(TAG_FIELDS)
 def parse_page_provenance(tag: pd.Series) -> pd.DataFrame:
     """:func:`page_provenance` over Arrow batches."""
     found = pd.DataFrame([page_provenance(t if isinstance(t, str) else None) for t in tag], columns=list(_FIELDS))

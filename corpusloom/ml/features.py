@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 
@@ -14,7 +13,7 @@ from ..functions import text as tx
 MAX_FEATURES, MIN_DF = 20_000, 2
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_accents(text: pd.Series) -> pd.Series:
     """Without combining marks, by compatibility decomposition."""
     import unicodedata
@@ -51,22 +50,3 @@ def long_tfidf(rows: DataFrame, key: str, text: str = "text", min_df: int = MIN_
     weighed = counts.join(df, "term").join(F.broadcast(total)).withColumn("v", (1 + F.log("n")) * (F.log((1 + F.col("total")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
     return weighed.select(*columns, "term", (F.col("v") / norm).alias("tfidf"))
-
-
-def sublinear(vector: Column) -> Column:
-    """1 + ln of each count of a vector."""
-    return _sublinear(vector)
-
-
-def _log_counts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    from math import log
-
-    for part in parts:
-        yield part.map(lambda counts: [1.0 + log(c) if c > 0 else 0.0 for c in counts])
-
-
-_log_array = F.pandas_udf(_log_counts, "array<double>")
-
-
-def _sublinear(vector: Column) -> Column:
-    return _log_array(vector)

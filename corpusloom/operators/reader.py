@@ -199,14 +199,8 @@ def read_papers(lines: DataFrame, pages: DataFrame, rung: int | None = None, str
 
 
 def parse_pages(spec: str | None) -> list[int] | None:
-    """``1-5,8`` as page numbers from 0, in the order given; null stays null."""
-    if spec is None:
+    """``0-4,7`` as page indices, from 0 as pages are counted; nothing gives null, which is all pages."""
+    if not spec:
         return None
-    out: list[int] = []
-    for part in filter(None, (p.strip() for p in spec.split(","))):
-        first, dash, last = part.partition("-")
-        low, high = int(first), int(last) if dash else int(first)
-        if low < 1 or high < low:
-            raise ValueError(f"not a page range: {part}")
-        out.extend(range(low - 1, high))
-    return out
+    bounds = [[int(x) for x in part.strip().split("-", 1)] for part in spec.split(",")]
+    return [page for b in bounds for page in range(b[0], b[-1] + 1)]
