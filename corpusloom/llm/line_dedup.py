@@ -229,6 +229,7 @@ def without_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
     """(doc_id, n_lines, n_dropped, kept_text) of every row: the bitmaps applied to the texts."""
     maps = written(keep_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col), "bitmaps").select(F.col("doc_id").alias("map_id"), F.col("text_hash").alias("map_hash"), "n_dropped", "bitmap")
     rows = _documents(docs, id_col, text_col)
-    joined = rows.join(maps, (rows.text_hash == maps.map_hash) & rows.doc_id.eqNullSafe(maps.map_id), "left")
+    # Always by sorted shuffle, so that the plan is the same at every size.
+    joined = rows.join(maps.hint("merge"), (rows.text_hash == maps.map_hash) & rows.doc_id.eqNullSafe(maps.map_id), "left")
     lines = joined.select("doc_id", "text", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "bitmap")
     return lines.mapInArrow(_kept_text, "doc_id long, n_lines long, n_dropped long, kept_text string")
