@@ -9,9 +9,13 @@ its training documents, and sends them to shards: a pair by a hash of the pair,
 context spreads over all shards; a block is packed tightly, a few bytes for each key. A shard
 adds up the counts of all chunks, builds its trie, and answers every block with what the trie
 holds, in the order in which the block asked. Each chunk then scores its documents from the
-answers. The chunks are kept in the shared folder between the two passes, as local word numbers,
+answers. The chunks are kept in the shared folder between the passes, as local word numbers,
 compressed; all sizes grow with the input and nothing but the totals N and V reaches the driver.
 
+Words are exact by 64 bits. In a pair the context keeps 34 bits of its hash and the word 30: pairs
+stay apart but for a chance of 2^-64 for each two, and two contexts share their successors' space
+with a chance of 2^-34.
+
 A shard's trie (:class:`Trie`) has two levels. The first is the Elias-Fano sequence of its
 context hashes with monotone pointers into the second; the second is the Elias-Fano sequence of
 the successors, each relative to its context: (rank of the context, word hash). A lookup finds
@@ -36,7 +40,7 @@ import tempfile
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count, islice
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +50,7 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, text_rows, written
 
-CHUNK_CHARS, SHARD_KEYS, MU, WORD_BITS = 4 << 20, 1_500_000, 4.0, 40
+CHUNK_CHARS, SHARD_CHARS, MU, CONTEXT_BITS, WORD_BITS = 6 << 20, 24_000_000, 4.0, 34, 30
 SPACES, UPPER, LOWER = r"[\x20\x09-\x0D]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END_WORD = "\n"  # no word contains white space
 _ONE = np.uint64(1)
@@ -154,12 +158,13 @@ def restored(codes: np.ndarray) -> np.ndarray:
 class Trie:
     """Contexts, pointers and successors of one shard, in a memory-mapped file."""
 
-    def __init__(self, contexts: np.ndarray, words: np.ndarray, counts: np.ndarray):
-        """Sorted by (context, word); words have ``WORD_BITS`` bits."""
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
+        """Ascending pairs, context above word, and how often each stands in the training documents."""
+        contexts, words = pairs >> np.uint64(WORD_BITS), pairs & np.uint64((1 << WORD_BITS) - 1)
         own, first = np.unique(contexts, return_index=True)
-        rank = np.repeat(np.arange(len(own), dtype=np.uint64), np.diff(np.append(first, len(contexts))))
-        successors = rank << np.uint64(WORD_BITS) | words
-        levels = [EliasFano.of(own, 1 << 64), EliasFano.of(np.append(first, len(contexts)).astype(np.uint64), len(contexts) + 1), EliasFano.of(successors, max(1, len(own)) << WORD_BITS)]
+        pointers = np.append(first, len(contexts)).astype(np.uint64)
+        rank = np.repeat(np.arange(len(own), dtype=np.uint64), np.diff(pointers).astype(np.int64))
+        levels = [EliasFano.of(own, 1 << CONTEXT_BITS), EliasFano.of(pointers, len(contexts) + 1), EliasFano.of(rank << np.uint64(WORD_BITS) | words, max(1, len(own)) << WORD_BITS)]
         parts = [p for level in levels for p in level.parts()] + [np.concatenate([quantised(counts), np.zeros(-len(counts) % 4, np.uint16)]).view(np.uint64)]
         self.file = tempfile.NamedTemporaryFile(prefix="trie-", delete=False)
         self.bytes = sum(p.nbytes for p in parts)
@@ -172,13 +177,14 @@ class Trie:
         self.contexts, self.pointers, self.successors = (EliasFano.from_parts(views[4 * k : 4 * k + 4]) for k in range(3))
         self.codes = views[12].view(np.uint16)
 
-    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The quantised probability of each pair, 0 where there is none; codes are one more than stored."""
+    def find(self, pairs: np.ndarray) -> np.ndarray:
+        """The quantised probability of each ascending pair, 0 where there is none; codes are one more than stored."""
+        contexts, words = pairs >> np.uint64(WORD_BITS), pairs & np.uint64((1 << WORD_BITS) - 1)
         own, back = np.unique(contexts, return_inverse=True)
         rank = self.contexts.find(own)[back]
         known = np.flatnonzero(rank >= 0)
         place = self.successors.find(rank[known].astype(np.uint64) << np.uint64(WORD_BITS) | words[known])
-        out = np.zeros(len(contexts), np.uint32)
+        out = np.zeros(len(pairs), np.uint32)
         hit = place >= 0
         out[known[hit]] = self.codes[place[hit]].astype(np.uint32) + 1
         return out
@@ -189,7 +195,8 @@ class Trie:
 
 # --- chunks -------------------------------------------------------------------------------
 
-CHUNKS = "chunk string, doc_ids array<long>, held array<boolean>, lengths array<int>, payload binary, words binary, requests array<struct<shard:int,unigrams:binary,pairs:binary>>, tokens long"
+CHUNKS = "chunk string, doc_ids array<long>, held array<boolean>, lengths array<int>, payload binary, words binary, tokens long"
+REQUESTS = "chunk string, shard int, unigrams binary, pairs binary"
 
 
 def _hashed(words: list[str]) -> np.ndarray:
@@ -198,93 +205,107 @@ def _hashed(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
-def _spread(keys: np.ndarray, shards: int) -> np.ndarray:
+def _by_shard(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts ascending keys shard by shard, each shard's still ascending; and where each shard begins."""
     mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
-
-
-def _narrow(words: np.ndarray) -> np.ndarray:
-    return words >> np.uint64(64 - WORD_BITS)
-
-
-def _block(*columns: np.ndarray) -> bytes:
-    """Columns of one length; 64-bit ones are split into byte planes, the sorted first one as differences."""
-    out = [np.array([len(columns[0])], np.int64).tobytes()]
-    for k, c in enumerate(columns):
-        c = c.astype(np.uint64)
-        if k == 0 and len(c):
-            c = np.concatenate([c[:1], np.diff(c)])
-        out.append(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zlib.compress(b"".join(out), 1)
-
-
-def _columns(block: bytes, n: int) -> list[np.ndarray]:
-    data = zlib.decompress(block)
-    size = int(np.frombuffer(data, np.int64, 1)[0])
-    planes = np.frombuffer(data, np.uint8, offset=8).reshape(n, 8, size)
-    out = [np.ascontiguousarray(planes[k].T).reshape(-1).view(np.uint64) for k in range(n)]
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
-    return out
-
-
-def _chunk_pairs(numbers: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one chunk's tokens: (numbers of the distinct pairs as left * n + right, place of each token's pair, training count of each pair)."""
-    before = np.empty(len(numbers), np.int64)
-    before[1:] = numbers[:-1]
-    begin = np.concatenate([[0], lengths.cumsum()[:-1]])
-    before[begin] = 0  # the end token has number 0
-    pairs = before * len(hashes) + numbers
-    distinct, place = np.unique(pairs, return_inverse=True)
-    return distinct, place, np.bincount(place, trained, len(distinct)).astype(np.int64)
-
-
-def _scattered(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shard = ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys as differences, and small counts, both in byte planes."""
+    keys = np.concatenate([keys[:1], np.diff(keys)])
+    planes = [keys.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()]
+    return zlib.compress(b"".join(planes), 1)
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(block), np.uint8).reshape(12, -1)
+    keys = np.ascontiguousarray(planes[:8].T).reshape(-1).view("<u8")
+    return np.cumsum(keys, dtype=np.uint64), np.ascontiguousarray(planes[8:].T).reshape(-1).view("<u4").astype(np.int64)
+
+
+class Chunk:
+    """A chunk's documents as numbers of its words, with its distinct words and pairs in ascending order."""
+
+    def __init__(self, row: dict):
+        self.hashes = np.frombuffer(zlib.decompress(row["words"]), "<u8")
+        self.lengths = np.asarray(row["lengths"], np.int64)
+        self.held = np.asarray(row["held"], bool)
+        self.flat = _planes(row["payload"], 4, "<u4").astype(np.int64)
+        self.begin = np.concatenate([[0], self.lengths.cumsum()[:-1]])
+        before = np.empty(len(self.flat), np.int64)
+        before[1:] = self.flat[:-1]
+        before[self.begin] = 0  # the end token has number 0
+        self.before = before
+        context, word = self.hashes >> np.uint64(64 - CONTEXT_BITS), self.hashes >> np.uint64(64 - WORD_BITS)
+        self.pairs, self.place = np.unique(context[before] << np.uint64(WORD_BITS) | word[self.flat], return_inverse=True)
+        self.order = np.argsort(self.hashes)
+
+    def requests(self, shards: int) -> Iterator[tuple[int, bytes, bytes]]:
+        weight = np.repeat(~self.held, self.lengths)
+        singles = np.bincount(self.flat, weight, len(self.hashes)).astype(np.int64)[self.order]
+        counts = np.bincount(self.place, weight, len(self.pairs)).astype(np.int64)
+        words = self.hashes[self.order]
+        (o, cut), (p, pair_cut) = _by_shard(words, shards), _by_shard(self.pairs, shards)
+        for s in range(shards):
+            own, pairs = o[cut[s] : cut[s + 1]], p[pair_cut[s] : pair_cut[s + 1]]
+            yield s, _packed(words[own], singles[own]), _packed(self.pairs[pairs], counts[pairs])
+
+    def scores(self, answers: list[dict], shards: int, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known words, base, score) of each document."""
+        words = self.hashes[self.order]
+        counts = np.empty(len(words), np.int64)
+        counts[self.order[_by_shard(words, shards)[0]]] = np.concatenate([_planes(x["unigrams"], 8, "<i8") for x in answers])
+        codes = np.empty(len(self.pairs), np.uint32)
+        codes[_by_shard(self.pairs, shards)[0]] = np.concatenate([_planes(x["pairs"], 4, "<u4") for x in answers])
+        unigram = (counts + 1) / (total + vocabulary + 1)
+        joint = np.where(codes > 0, restored(np.maximum(codes, 1) - 1), 0.0)[self.place]
+        pair = np.log10((joint + MU * unigram[self.flat]) / (counts[self.before] + MU))
+        return tuple(np.add.reduceat(x, self.begin) for x in ((counts > 0).astype(np.int64)[self.flat], np.log10(unigram)[self.flat], pair))
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: defaultdict[str, int] = defaultdict(count().__next__)
+    known[END_WORD]
+    ids: list[int | None] = []
+    held: list[bool] = []
+    numbers: list[np.ndarray] = []
+    chars, made = 0, 0
+
+    def out() -> pa.RecordBatch:
+        lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
+        payload = zlib.compress(np.concatenate(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+        name = f"{TaskContext.get().partitionId()}-{made}"  # the same if the task runs again
+        row = [[name], [ids], [held], [lengths.tolist()], [payload], [zlib.compress(_hashed(list(known)).astype("<u8").tobytes(), 1)], [int(lengths[~np.array(held)].sum())]]
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "doc_ids", "held", "lengths", "payload", "words", "tokens"])
+
+    for batch in batches:
+        for doc_id, is_held, words in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["words"].to_pylist(), strict=True):
+            own = words.split(" ") if words else []
+            own.append(END_WORD)
+            ids.append(doc_id)
+            held.append(is_held)
+            numbers.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
+            chars += len(words) + 1
+            if chars >= CHUNK_CHARS:
+                yield out()
+                known = defaultdict(count().__next__)
+                known[END_WORD]
+                ids, held, numbers, chars, made = [], [], [], 0, made + 1
+    if ids:
+        yield out()
+
+
+def _requested(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: defaultdict[str, int] = defaultdict(count().__next__)
-        known[END_WORD]
-        ids: list[int | None] = []
-        held: list[bool] = []
-        numbers: list[np.ndarray] = []
-        chars, made = 0, 0
-
-        def out() -> pa.RecordBatch:
-            hashes = _hashed(list(known))
-            lengths = np.fromiter(map(len, numbers), np.int64, len(numbers))
-            flat = np.concatenate(numbers).astype(np.int64)
-            trained = np.repeat(~np.array(held), lengths)
-            singles = np.bincount(flat, trained, len(hashes)).astype(np.int64)
-            distinct, _, pair_counts = _chunk_pairs(flat, lengths, hashes, trained)
-            contexts, words = hashes[distinct // len(hashes)], hashes[distinct % len(hashes)]
-            shard_of = _spread(hashes, shards)
-            pair_shard = _spread(contexts * np.uint64(31) + words, shards)
-            requests = []
-            # Of each shard, keys in ascending order: the answers come in the same order.
-            order, pair_order = np.lexsort((hashes, shard_of)), np.lexsort((_narrow(words), contexts, pair_shard))
-            cut, pair_cut = np.searchsorted(shard_of[order], np.arange(shards + 1)), np.searchsorted(pair_shard[pair_order], np.arange(shards + 1))
-            for s in range(shards):
-                o, p = order[cut[s] : cut[s + 1]], pair_order[pair_cut[s] : pair_cut[s + 1]]
-                requests.append({"shard": s, "unigrams": _block(hashes[o], singles[o]), "pairs": _block(contexts[p], _narrow(words[p]), pair_counts[p])})
-            payload = zlib.compress(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
-            name = f"{TaskContext.get().partitionId()}-{made}"  # the same if the task runs again
-            row = [[name], [ids], [held], [lengths.tolist()], [payload], [zlib.compress(hashes.tobytes(), 1)], [requests], [int(lengths[~np.array(held)].sum())]]
-            request = pa.list_(pa.struct([("shard", pa.int32()), ("unigrams", pa.binary()), ("pairs", pa.binary())]))
-            kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), request, pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "doc_ids", "held", "lengths", "payload", "words", "requests", "tokens"])
-
         for batch in batches:
-            for doc_id, is_held, words in zip(batch["doc_id"].to_pylist(), batch["held_out"].to_pylist(), batch["words"].to_pylist(), strict=True):
-                words = words.split(" ") if words else []
-                ids.append(doc_id)
-                held.append(is_held)
-                numbers.append(np.fromiter(map(known.__getitem__, [*words, END_WORD]), np.int64, len(words) + 1))
-                chars += sum(map(len, words)) + len(words) + 1
-                if chars >= CHUNK_CHARS:
-                    yield out()
-                    known = defaultdict(count().__next__)
-                    known[END_WORD]
-                    ids, held, numbers, chars, made = [], [], [], 0, made + 1
-        if ids:
-            yield out()
+            for row in range(batch.num_rows):
+                name = batch["chunk"][row].as_py()
+                found = list(Chunk({c: batch[c][row].as_py() for c in ("words", "lengths", "held", "payload")}).requests(shards))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * shards), pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary())], names=["chunk", "shard", "unigrams", "pairs"])
 
     return run
 
@@ -292,39 +313,27 @@ def _scattered(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 ANSWERS = "chunk string, shard int, unigrams binary, pairs binary, distinct long, trie_bytes long"
 
 
+def _together(blocks: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct keys of all blocks, their summed counts, and where each block's keys stand among them."""
+    found = [_unpacked(b.as_py()) for b in blocks]
+    distinct, place = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    total = np.bincount(place, np.concatenate([c for _, c in found]), len(distinct)).astype(np.int64)
+    return distinct, total, np.split(place, np.cumsum([len(k) for k, _ in found])[:-1])
+
+
 def _answered(key: tuple, blocks: pa.Table) -> pa.Table:
     """One shard: the counts of all chunks, its trie, and its answer to every block."""
-    singles, pairs = [], []
-    for block in blocks["unigrams"]:
-        k, c = _columns(block.as_py(), 2)
-        singles.append((k[c > 0], c[c > 0].astype(np.int64)))
-    for block in blocks["pairs"]:
-        x, w, c = _columns(block.as_py(), 3)
-        pairs.append((x[c > 0], w[c > 0], c[c > 0].astype(np.int64)))
-    word = np.concatenate([x[0] for x in singles])
-    distinct, place = np.unique(word, return_inverse=True)
-    total = np.bincount(place, np.concatenate([x[1] for x in singles]), len(distinct)).astype(np.int64)
-    left, right, n = (np.concatenate([x[k] for x in pairs]) for k in range(3))
-    order = np.lexsort((right, left))
-    left, right, n = left[order], right[order], n[order]
-    new = np.ones(len(left), bool)
-    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-    starts = np.flatnonzero(new)
-    trie = Trie(left[starts], right[starts], np.add.reduceat(n, starts) if len(starts) else n)
-    del pairs, left, right, n, order
-    unigram_answers, pair_answers = [], []
+    words, total, own = _together(blocks["unigrams"])
+    singles = [zlib.compress(total[at].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for at in own]
+    pairs, sums, own = _together(blocks["pairs"])
+    trie = Trie(pairs[sums > 0], sums[sums > 0])
     try:
-        for one, two in zip(blocks["unigrams"], blocks["pairs"], strict=True):
-            k, _ = _columns(one.as_py(), 2)
-            at = np.minimum(np.searchsorted(distinct, k), max(0, len(distinct) - 1))
-            found = np.where(distinct[at] == k, total[at], 0) if len(distinct) else np.zeros(len(k), np.int64)
-            unigram_answers.append(zlib.compress(found.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), 1))
-            x, w, _ = _columns(two.as_py(), 3)
-            pair_answers.append(zlib.compress(trie.find(x, w).view(np.uint8).reshape(-1, 4).T.tobytes(), 1))
+        codes = trie.find(pairs)
     finally:
         trie.close()
+    answers = [zlib.compress(codes[at].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for at in own]
     m = blocks.num_rows
-    return pa.table({"chunk": blocks["chunk"], "shard": pa.array([key[0].as_py()] * m, pa.int32()), "unigrams": pa.array(unigram_answers, pa.binary()), "pairs": pa.array(pair_answers, pa.binary()), "distinct": pa.array([len(distinct)] * m, pa.int64()), "trie_bytes": pa.array([trie.bytes] * m, pa.int64())})
+    return pa.table({"chunk": blocks["chunk"], "shard": pa.array([key[0].as_py()] * m, pa.int32()), "unigrams": pa.array(singles, pa.binary()), "pairs": pa.array(answers, pa.binary()), "distinct": pa.array([int((total > 0).sum())] * m, pa.int64()), "trie_bytes": pa.array([trie.bytes] * m, pa.int64())})
 
 
 def _planes(data: bytes, width: int, kind) -> np.ndarray:
@@ -336,26 +345,10 @@ def _scored(shards: int, total: int, vocabulary: int) -> Callable[[Iterator[pa.R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
+                chunk = Chunk({c: batch[c][row].as_py() for c in ("words", "lengths", "held", "payload")})
                 answers = sorted(batch["answers"][row].as_py(), key=lambda x: x["shard"])
-                hashes = np.frombuffer(zlib.decompress(batch["words"][row].as_py()), np.uint64)
-                flat = _planes(batch["payload"][row].as_py(), 4, "<u4").astype(np.int64)
-                lengths = batch["lengths"][row].values.to_numpy().astype(np.int64)
-                held = np.array(batch["held"][row].as_py(), bool)
-                counts = np.empty(len(hashes), np.int64)
-                counts[np.lexsort((hashes, _spread(hashes, shards)))] = np.concatenate([_planes(x["unigrams"], 8, np.int64) for x in answers])
-                distinct, place, _ = _chunk_pairs(flat, lengths, hashes, np.zeros(len(flat)))
-                contexts, words = hashes[distinct // len(hashes)], hashes[distinct % len(hashes)]
-                codes = np.empty(len(distinct), np.uint32)
-                order = np.lexsort((_narrow(words), contexts, _spread(contexts * np.uint64(31) + words, shards)))
-                codes[order] = np.concatenate([_planes(x["pairs"], 4, np.uint32) for x in answers])
-                unigram = (counts + 1) / (total + vocabulary + 1)
-                joint = np.where(codes > 0, restored(np.maximum(codes, 1) - 1), 0.0)
-                pair = np.log10((joint + MU * unigram[distinct % len(hashes)]) / (counts[distinct // len(hashes)] + MU))
-                begin = np.concatenate([[0], lengths.cumsum()[:-1]])
-                base = np.add.reduceat(np.log10(unigram)[flat], begin)
-                score = np.add.reduceat(pair[place], begin)
-                seen = np.add.reduceat((counts > 0).astype(np.int64)[flat], begin)
-                columns = [batch["doc_ids"][row].values, pa.array(held), pa.array(lengths), pa.array(seen), pa.array(np.full(len(lengths), total)), pa.array(base), pa.array(score)]
+                known, base, score = chunk.scores(answers, shards, total, vocabulary)
+                columns = [batch["doc_ids"][row].values, pa.array(chunk.held), pa.array(chunk.lengths), pa.array(known), pa.array(np.full(len(known), total)), pa.array(base), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
 
     return run
@@ -370,11 +363,11 @@ def scores(docs: DataFrame, divisor: int = 7, held_out: int = 2, id_col: str = "
     words = F.btrim(F.translate(F.regexp_replace("text", SPACES, " "), UPPER, LOWER), F.lit(" "))
     split = rows.select("doc_id", (id_remainder("doc_id", divisor) == held_out).alias("held_out"), words.alias("words"))
     size = rows.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // (5 * SHARD_KEYS)))  # a key takes some five characters at least
-    chunks = written(split.mapInArrow(_scattered(shards), CHUNKS), "chunks")
+    shards = max(1, -(-size // SHARD_CHARS))
+    chunks = written(split.mapInArrow(_chunked, CHUNKS), "chunks")
     total = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    blocks = chunks.select("chunk", F.explode("requests").alias("r")).select("chunk", "r.*")
+    blocks = chunks.select("chunk", "words", "lengths", "held", "payload").mapInArrow(_requested(shards), REQUESTS)
     answers = written(blocks.groupBy("shard").applyInArrow(_answered, ANSWERS), "answers")
     vocabulary = answers.groupBy("shard").agg(F.max("distinct").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     gathered = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "unigrams", "pairs")).alias("answers"))
-    return chunks.drop("requests").join(gathered, "chunk").mapInArrow(_scored(shards, total, vocabulary), SCORES)
+    return chunks.join(gathered.hint("merge"), "chunk").mapInArrow(_scored(shards, total, vocabulary), SCORES)
