@@ -41,7 +41,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
@@ -50,7 +49,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """Delete the files of a table that :func:`written` gave back and that nothing reads any more."""
+    jvm, path = table.sparkSession._jvm, table.written_to
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import removed, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select("u", "v").where("u != v").distinct(), "edges")
     state = None
     while True:
-        edges = written(_small(_large(edges)), "edges")
+        before, edges = edges, written(_small(_large(edges)), "edges")
+        removed(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
