@@ -557,3 +557,31 @@ def q54_restart_sections(spark, sf_dir):
 def q55_take_prefix(spark, sf_dir):
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     return corpus.take_until(turns, "conv_id", "turn", (F.col("role") == "assistant") & (F.char_length("text") > 1500)).select("conv_id", "turn")
+
+
+# --- without SQL: order-dependent choices, scans in Python, fitted models ----------------------
+
+
+@query()
+def q56_split_assignment(spark, sf_dir):
+    from ..operators import split
+
+    return split.split_rows(views.corpus(spark, sf_dir).drop("split"), labels=views.langs(spark)).select("id", "split")
+
+
+@query()
+def q57_latex_prose(spark, sf_dir):
+    from ..functions import latex
+
+    marked = F.concat(F.lit(r"\textbf{"), F.col("lang"), F.lit(r"} $\frac{1}{2} \le \pi$ % note "), F.lit("\n"), F.coalesce("text", F.lit("")))
+    read = documents(spark, sf_dir).select("doc_id", latex.to_prose(marked).alias("p"))
+    return read.select("doc_id", F.md5("p.text").alias("prose"), F.size("p.dropped").alias("dropped"))
+
+
+@query()
+def q58_classifier(spark, sf_dir):
+    from ..ml import model
+
+    rows = views.corpus(spark, sf_dir).select("ord", "chapter", F.coalesce("text", F.lit("")).alias("text"), "split")
+    fitted = model.fit(rows.where("split <> 'test'"), 1.0)
+    return fitted.transform(rows.where("split = 'test'")).select("ord", "chapter", "predicted")
