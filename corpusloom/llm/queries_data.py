@@ -41,6 +41,23 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.segments(turns.unionByName(probe)))
 
 
+OP6_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e as (
+  select *, length(regexp_replace(text, '(\\*)(<s>|</s>|\[INST\]|\[/INST\]|<<ROLE>>|<</ROLE>>)', '\\\1\2', 'g')) as body,
+            length(regexp_replace(role, '(\\*)(<s>|</s>|\[INST\]|\[/INST\]|<<ROLE>>|<</ROLE>>)', '\\\1\2', 'g')) as name from t
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(body + case role when 'user' then 18 when 'assistant' then 9 else 28 + name end)::bigint as formatted_chars,
+       count(*) filter (where role = 'assistant') as n_examples
+from e group by conv_id
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines whose key stands in ten documents or more."""
     kept = line_dedup.without_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
@@ -63,4 +80,4 @@ from k left join f on k.key = f.key group by doc_id
 """
 
 QUERIES = {"op5_sharding": op5_sharding, "op6_chat_formatting": op6_chat_formatting, "op8_line_dedup": op8_line_dedup, "op9_exact_dedup": op9_exact_dedup}
-ORACLES = {"op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op6_chat_formatting": OP6_SQL, "op8_line_dedup": OP8_SQL, "op9_exact_dedup": OP9_SQL}
