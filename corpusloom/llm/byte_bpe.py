@@ -8,9 +8,8 @@ id of their union and looks up the two new pairs, until no pair has a rank. (In
 rank.) The ids of the words are then put together again document by document, in the same task;
 no word is shuffled. Decoding concatenates the binary pieces of the ids.
 
-The rank map is a literal array of fixed size, made from the rank file alone. A pair stands in one
-of two slots, given by two hashes of it (a cuckoo table), as a long that holds the pair and its
-rank. A Spark map literal would be searched from its start on every lookup.
+The rank map is a pair of literal arrays of fixed size, made from the rank file alone
+(:func:`rank_table`); a Spark map literal would be searched from its start on every lookup.
 
 Memory: a chunk holds about ``CHUNK_BYTES`` of text, or one document if that is longer; the
 words known in a partition are forgotten after ``KNOWN_WORDS``, which changes only how often a
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import text_rows
 
-CHUNK_BYTES, KNOWN_WORDS, SLOTS, END = 2 << 20, 300_000, 1 << 18, 65_535
+CHUNK_BYTES, KNOWN_WORDS, END, ID, NONE = 1 << 20, 300_000, 65_535, 1 << 17, 1 << 40
 CHUNK = "fresh boolean, words array<array<bigint>>, doc_ids array<long>, lengths array<int>, refs binary"
 
 
@@ -56,90 +55,96 @@ def merges(table: dict[bytes, int]) -> Iterator[tuple[int, int, int]]:
                 yield left, right, rank
 
 
-def _first(key):
-    """One slot of a pair, from its key ``left << 16 | right``; the same arithmetic in Python and in Spark."""
-    return key * 1_540_483_477 // (1 << 24) % SLOTS
-
-
-def _second(key):
-    """The other slot."""
-    return key * 1_181_783_497 // (1 << 21) % SLOTS
-
-
 @lru_cache(maxsize=2)
-def _table(path: str) -> str:
-    """The slots as decimal numbers joined by commas; an empty slot holds a number that matches no key."""
-    slots: list[tuple[int, int] | None] = [None] * SLOTS
+def rank_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(shift, slots): the pair (left, right) stands at ``shift[left] + right`` as ``left << 16 | rank``.
+
+    Rows, one for each left piece, are laid over each other so that no two pairs share a slot; a
+    slot tells its left piece, and with its place its right one, so a lookup is exact.
+    """
+    rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for left, right, rank in merges(ranks(path)):
-        entry = (left << 16 | right, rank)
-        at = _first(entry[0])
-        for _ in range(10_000):
-            slots[at], entry = entry, slots[at]
-            if entry is None:
+        rows[left].append((right, rank))
+    shift, slots = np.zeros(1 << 16, np.int64), np.full(1 << 20, -1, np.int64)
+    full = np.zeros(1 << 20, bool)
+    begin: dict[int, int] = {}  # by length of a row: where the search for the next one of it begins
+    singles = [left for left, own in rows.items() if len(own) == 1]
+    for left, own in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
+        if len(own) == 1:
+            continue
+        right = np.array([r for r, _ in own])
+        base, at = int(right.min()), max(int(right.min()), begin.get(len(own), 0))
+        while True:
+            free = np.flatnonzero(~full[at : at + 256]) + at
+            fits = free[~full[free[:, None] + (right - base)].any(axis=1)] if len(free) else free
+            if len(fits):
                 break
-            one, two = _first(entry[0]), _second(entry[0])
-            at = two if at == one else one
-        else:
-            raise ValueError("the rank file needs a larger table")
-    return ",".join(str(1 << 48) if x is None else str(x[0] << 16 | x[1]) for x in slots)
+            at += 256
+        begin[len(own)] = int(fits[0])
+        shift[left] = int(fits[0]) - base
+        slots[right + shift[left]] = left << 16 | np.array([k for _, k in own])
+        full[right + shift[left]] = True
+    # Rows of one pair take what is free from the largest right piece on, so that no shift is negative.
+    for left, at in zip(singles, np.flatnonzero(~full[1 << 16 :])[: len(singles)].tolist(), strict=True):
+        (right, rank), = rows[left]
+        shift[left] = at + (1 << 16) - right
+        slots[at + (1 << 16)] = left << 16 | rank
+    # Beyond the last used slot there must be room for every shift and right piece.
+    return shift, slots[: int(shift.max()) + (1 << 16)]
 
 
-def rank_map(path: str) -> Column:
-    """The literal rank map (folded to an array literal by the optimizer)."""
-    return F.split(F.lit(_table(path)), ",").cast("array<bigint>")
+def _literal(numbers: np.ndarray, kind: str) -> Column:
+    """An array literal (folded by the optimizer from its decimal text)."""
+    return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast(f"array<{kind}>")
 
 
-def _ranks(keys: Column, table: Column) -> Column:
-    """Of each pair the rank of its union; a number of 65,536 or more if that is no piece."""
+def rank_map(path: str) -> tuple[Column, Column]:
+    """The literal rank map: both arrays of :func:`rank_table`. A slot without a pair holds a number that no left piece matches."""
+    shift, slots = rank_table(path)
+    return _literal(shift, "int"), _literal(np.where(slots < 0, NONE, slots), "bigint")
 
-    def one(key: Column) -> Column:
-        wanted = F.shiftleft(key, 16)
-        slots = (F.shiftright(key * 1_540_483_477, 24), F.shiftright(key * 1_181_783_497, 21))
-        return F.least(*(F.get(table, slot.bitwiseAND(F.lit(SLOTS - 1)).cast("int")).bitwiseXOR(wanted) for slot in slots))
 
-    return F.transform(keys, one)
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
+def initial_ranks(path: str) -> np.ndarray:
+    """The rank of each pair of bytes at ``first * 257 + second``; 256 is the end mark; ``NONE`` where there is none."""
+    table = ranks(path)
+    out = np.full(257 * 257, NONE, np.int64)
+    for a in range(256):
+        for b in range(256):
+            out[a * 257 + b] = table.get(bytes([a, b]), NONE)
+    return out
 
 
-def merged(word: Column, table: Column) -> Column:
-    """The ids of a word, given as the ids of its bytes between two ``END``s: the fold of its ranked merges.
+def merged(word: Column, table: tuple[Column, Column]) -> Column:
+    """The fold of a word's ranked merges over one array: an id, the rank of the pair, an id, and so on.
 
-    The accumulator holds the ids and the ranks of all adjacent pairs; a merge looks up its two
-    new pairs only.
+    ``word`` starts as the ids of its bytes between two ``END``s, with the rank of each adjacent
+    pair between them (2^16 or more where there is none). Ids carry ``ID``, so the least number of the
+    array, if below 2^16, is the rank to merge next. A merge looks up its two new pairs only.
     """
+    shift, slots = table
 
-    def key(left: Column, right: Column) -> Column:
-        return F.shiftleft(left, 16).bitwiseOR(right)
+    def rank_of(left: Column, right: Column) -> Column:
+        return F.get(slots, (F.get(shift, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, 16))
 
-    def replaced(ids: Column, pairs: Column, rank: Column, at: Column) -> Column:
-        fresh = _ranks(F.array(key(F.get(ids, at - 2), rank), key(rank, F.get(ids, at + 1))), table)
-        return F.struct(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(rank), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-            F.concat(F.slice(pairs, F.lit(1), at - 2), fresh, F.slice(pairs, at + 2, F.size(pairs))).alias("pairs"),
-        )
+    def replaced(x: Column, at: Column) -> Column:
+        rank, left, right = F.get(x, at - 1), F.get(x, at - 4).bitwiseAND(F.lit(0xFFFF)), F.get(x, at + 2).bitwiseAND(F.lit(0xFFFF))
+        return F.flatten(F.array(F.slice(x, F.lit(1), at - 3), F.array(rank_of(left, rank), rank.bitwiseOR(F.lit(ID)), rank_of(rank, right)), F.slice(x, at + 3, F.size(x))))
 
-    def step(acc: Column) -> Column:
-        least = F.array_min(acc["pairs"])
-        return _let(least, lambda rank: F.when(rank >= 65_536, acc).otherwise(_let(F.array_position(acc["pairs"], rank).cast("int"), lambda at: replaced(acc["ids"], acc["pairs"], rank, at))))
+    def step(x: Column) -> Column:
+        place = F.array_position(x, F.array_min(x)).cast("int")
+        return F.when(F.array_min(x) >= 1 << 16, x).otherwise(F.get(F.transform(F.array(place), lambda at: replaced(x, at)), 0))
 
-    n = F.size(word)
-    pairs = _ranks(F.zip_with(F.slice(word, F.lit(1), n - 1), F.slice(word, F.lit(2), n - 1), key), table)
-    first = F.struct(word.alias("ids"), pairs.alias("pairs"))
-    # A word of n bytes merges n - 1 times at most.
-    folded = F.aggregate(F.slice(word, F.lit(1), n - 3), first, lambda acc, _: step(acc), lambda acc: acc["ids"])
-    return F.when(n > 3, _let(folded, lambda ids: F.slice(ids, F.lit(2), F.size(ids) - 2))).otherwise(F.slice(word, F.lit(2), F.lit(1)))
+    # A word of n bytes merges n - 1 times at most, and starts with 2 n + 3 numbers.
+    return F.aggregate(F.sequence(F.lit(2), F.greatest((F.size(word) - 3) / 2, F.lit(2)).cast("int")), word, lambda x, _: step(x))
 
 
-def _chunks(pattern: str, byte_ids: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _chunks(pattern: str, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern).findall
-        number = np.array([*byte_ids, END], np.int64)
+        number = np.array([*(ranks(path)[bytes([i])] for i in range(256)), END], np.int64) | ID
+        first_ranks = initial_ranks(path)
         known: defaultdict[str, int] = defaultdict(count().__next__)
         ids: list[int | None] = []
         lengths: list[int] = []
@@ -154,7 +159,12 @@ def _chunks(pattern: str, byte_ids: list[int]) -> Callable[[Iterator[pa.RecordBa
             inner = np.ones(ends[-1], bool)
             inner[ends[:-1]] = inner[ends[1:] - 1] = False
             flat[inner] = np.frombuffer(b"".join(words), np.uint8)
-            coded = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number[flat]))
+            both = np.empty(2 * len(flat), np.int64)  # an id, then the rank of its pair; a word's last id has none
+            both[::2] = number[flat]
+            both[1:-1:2] = first_ranks[flat[:-1] * 257 + flat[1:]]
+            stays = np.ones(len(both), bool)
+            stays[2 * ends[1:] - 1] = False
+            coded = pa.ListArray.from_arrays(pa.array(2 * ends - np.arange(len(ends)), pa.int32()), pa.array(both[stays]))
             row = [pa.array([fresh]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), coded), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([np.concatenate(refs).tobytes()], pa.binary())]
             return pa.RecordBatch.from_arrays(row, names=["fresh", "words", "doc_ids", "lengths", "refs"])
 
@@ -186,12 +196,15 @@ def _assembled(finish: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             for row in range(batch.num_rows):
                 coded = batch["coded"][row].values
                 offsets = coded.offsets.to_numpy().astype(np.int64)
-                values = coded.values[offsets[0] : offsets[-1]].to_numpy(zero_copy_only=False).astype(np.int32)
-                ends = offsets[1:] - offsets[0]
+                values = coded.values[offsets[0] : offsets[-1]].to_numpy(zero_copy_only=False)
+                # Of a word's 2 n + 3 numbers, n are ids: every second one, but for the marks at both ends.
+                n = (np.diff(offsets) - 3) // 2
+                place = np.repeat(offsets[:-1] - offsets[0] + 2, n) + 2 * (np.arange(n.sum()) - np.repeat(n.cumsum() - n, n))
+                values, ends = values[place] & 0xFFFF, n.cumsum()
                 if batch["fresh"][row].as_py():
                     flat, starts = np.empty(0, np.int32), np.zeros(1, np.int64)
                 starts = np.concatenate([starts, starts[-1] + ends])
-                flat = np.concatenate([flat, values])
+                flat = np.concatenate([flat, values.astype(np.int32)])
                 refs = np.frombuffer(batch["refs"][row].as_py(), np.int32)
                 n = starts[refs + 1] - starts[refs]
                 first = np.repeat(starts[refs] - np.concatenate([[0], n.cumsum()[:-1]]) if len(n) else n, n)
@@ -204,8 +217,7 @@ def _assembled(finish: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def _coded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
-    table = ranks(path)
-    chunks = text_rows(docs, id_col, text_col).mapInArrow(_chunks(pattern, [table[bytes([i])] for i in range(256)]), CHUNK)
+    chunks = text_rows(docs, id_col, text_col).mapInArrow(_chunks(pattern, path), CHUNK)
     lookup = rank_map(path)
     return chunks.select("fresh", F.transform("words", lambda w: merged(w, lookup)).alias("coded"), "doc_ids", "lengths", "refs")
 
@@ -257,8 +269,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             coded, decoded = [], []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 own = ids[a:b]
-                coded.append(sha(b",".join([decimal[i] for i in own])).hexdigest())
-                decoded.append(sha(b"".join([pieces[i] for i in own])).hexdigest())
+                coded.append(sha(b",".join(map(decimal.__getitem__, own))).hexdigest())
+                decoded.append(sha(b"".join(map(pieces.__getitem__, own))).hexdigest())
             n = np.diff(np.asarray(cut, np.int64))
             return pa.RecordBatch.from_arrays([doc_ids, pa.array(n), pa.array(coded), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
