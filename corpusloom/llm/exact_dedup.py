@@ -185,7 +185,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     packed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"), digest(F.coalesce(docs[text_col], F.lit(""))).alias("digest"))
     rows = written(packed.select("doc_id", "digest"), "digests")
     found = written(groups(rows, rows.count()), "groups").select("digest", "keep_id", "group_size")
-    kept = packed.join(found, "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = packed.join(found.hint("merge"), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     # Ids may repeat, and then so may the row that stays; only such groups are looked at again.
     again = rows.join(found.where("group_size > 1"), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").count().where("count > 1").select("digest", F.lit(True).alias("again"))
     kept = kept.join(again, "digest", "left")
