@@ -16,11 +16,11 @@ every other node is verified against it by the weighted Jaccard similarity of th
 In a group of near copies that is nearly always the text that the others were made from, so a
 group of any size costs as many comparisons as it has nodes.
 
-Nodes that fail are compared with every node of their bucket, by their samples first: blocks of at
-most ``BLOCK_NODES`` of them meet blocks of all nodes of the bucket, and the pairs whose share of
-equal samples is ``LEAST_ESTIMATE`` or more (three standard deviations below the threshold) are
-verified by their texts too. No bucket, partner or candidate is capped. Links become classes as
-connected components.
+Nodes that fail are compared with every node of their bucket that is not of their class already, by
+samples first: blocks of at most ``BLOCK_NODES`` of them meet blocks of all nodes of the bucket, and
+the pairs whose share of equal samples, of ``MARKS`` more samples of those nodes, is at most three standard deviations below the
+threshold are verified by their texts too. No bucket, partner or candidate is capped. Links become
+classes as connected components.
 
 Defined results: a null text is empty; empty texts form one class; a class is named by its
 least non-null id (null if it has none); rows that repeat an id keep their own classes, and all
@@ -42,9 +42,9 @@ from .components import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
 DF_BUCKETS, SLICES, SALTS = 1 << 21, 64, 16
-BLOCK_NODES, LEAST_ESTIMATE = 2_048, 0.64
+BLOCK_NODES, MARKS = 2_048, 768
 _VARIATES = 1 << 16
-_BLOCK = 1 << 14
+_BLOCK = 1 << 12
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -162,16 +162,30 @@ def _sampled(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(), idf.value
         for batch in batches:
-            keys, marks = [], []
+            keys = []
             for text in batch["text"].to_pylist():
                 hashes, counts = shingles(text)
-                samples = sampler(hashes, weights(hashes, counts, table))
-                keys.append(sampler.bands(samples))
-                marks.append((samples >> np.uint64(48)).astype("<u2").tobytes())
+                keys.append(sampler.bands(sampler(hashes, weights(hashes, counts, table))))
             n = len(keys)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], bands, pa.array(marks, pa.binary())], names=["doc_id", "node", "bands", "samples"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], bands], names=["doc_id", "node", "bands"])
+
+    return run
+
+
+def _marked(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The band keys of each text, then ``MARKS`` further samples, a byte of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, sampler, table = Sampler(), Sampler(MARKS), idf.value
+        for batch in batches:
+            marks = []
+            for text in batch["text"].to_pylist():
+                hashes, counts = shingles(text)
+                weight = weights(hashes, counts, table)
+                marks.append(first.bands(first(hashes, weight)).tobytes() + (sampler(hashes, weight) >> np.uint64(56)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["node"], pa.array(marks, pa.binary())], names=["node", "samples"])
 
     return run
 
@@ -201,45 +215,58 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return text_rows(docs, id_col, text_col).select("doc_id", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("node"), "text")
 
 
-def _estimated(_: tuple, rows: pa.Table) -> pa.Table:
+def _estimated(least: float) -> Callable[[tuple, pa.Table], pa.Table]:
     """A block of failed nodes against a block of the nodes of their bucket: the pairs that their samples leave open."""
-    marks = np.frombuffer(b"".join(rows["samples"].to_pylist()), "<u2").reshape(rows.num_rows, -1)
+    open_from = least - 3 * np.sqrt(least * (1 - least) / MARKS)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        return _open_pairs(key[0].as_py(), rows, open_from)
+
+    return run
+
+
+def _open_pairs(band: int, rows: pa.Table, open_from: float) -> pa.Table:
+    """A pair is judged in the first band that it shares: of two nodes of different classes, one has failed in every bucket that they share."""
+    both = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    keys, marks = np.ascontiguousarray(both[:, : 8 * band]).view(np.int64), both[:, 8 * BANDS :]
     failed = np.flatnonzero(rows["failed"].to_numpy(zero_copy_only=False))
     others = np.flatnonzero(~rows["failed"].to_numpy(zero_copy_only=False))
-    nodes, ids = rows["node"], rows["id"]
+    labels = np.unique(np.array(rows["label"].to_pylist(), object), return_inverse=True)[1]
+    nodes = rows["node"]
     left, right = [], []
     for at in failed.tolist():
-        share = (marks[others] == marks[at]).mean(axis=1)
-        near = others[share >= LEAST_ESTIMATE]
+        strangers = others[labels[others] != labels[at]]
+        strangers = strangers[~(keys[strangers] == keys[at]).any(axis=1)]
+        near = strangers[(marks[strangers] == marks[at]).mean(axis=1) >= open_from]
         left += [at] * len(near)
         right += near.tolist()
     u, v = nodes.take(pa.array(left, pa.int64())), nodes.take(pa.array(right, pa.int64()))
-    return pa.table({"node": u, "id": ids.take(pa.array(left, pa.int64())), "head": v, "head_id": ids.take(pa.array(right, pa.int64()))})
-
+    return pa.table({"node": u, "head": v})
 
-_PAIRS = "node binary, id long, head binary, head_id long"
 
-
-def _rest(shared: DataFrame, failed: DataFrame, samples: DataFrame) -> DataFrame:
-    """The open pairs (node, id, head, head_id) of failed nodes with all nodes of their buckets."""
-    bad = failed.join(shared, (shared.node == failed.n) & (shared.leader == failed.l)).select("band", "key", "node", "id")
+def _rest(shared: DataFrame, failed: DataFrame, labels: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """The open pairs (node, head) of failed nodes with the nodes of other classes (node, label) in their buckets."""
+    named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("band", "key")
+    named = written(named.join(mixed, ["band", "key"], "left_semi"), "mixed")
+    bad = written(failed.join(named, (named.node == failed.n) & (named.leader == failed.l)).select("band", "key", "node", "label"), "failed")
     sizes = bad.groupBy("band", "key").agg(F.count("*").alias("n_failed"))
-    everyone = shared.select("band", "key", "node", "id").join(sizes, ["band", "key"])
+    everyone = named.select("band", "key", "node", "label").join(sizes, ["band", "key"])
     counts = everyone.groupBy("band", "key").agg(F.first("n_failed").alias("n_failed"), F.count("*").alias("n"))
     lefts, rights = F.ceil(F.col("n_failed") / BLOCK_NODES).cast("int"), F.ceil(F.col("n") / BLOCK_NODES).cast("int")
     own, every = F.pmod(F.xxhash64("node"), lefts).cast("int"), F.pmod(F.xxhash64("node"), rights).cast("int")
-    left = bad.join(counts, ["band", "key"]).select("band", "key", "node", "id", F.lit(True).alias("failed"), own.alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"))
-    right = everyone.drop("n_failed").join(counts, ["band", "key"]).select("band", "key", "node", "id", F.lit(False).alias("failed"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), every.alias("j"))
-    marks = samples.select(F.col("node").alias("marked"), "samples")
-    blocks = left.unionByName(right).join(marks, F.col("node") == F.col("marked")).drop("marked")
-    return blocks.groupBy("band", "key", "i", "j").applyInArrow(_estimated, _PAIRS).where("node != head").distinct()
+    left = bad.join(counts, ["band", "key"]).select("band", "key", "node", "label", F.lit(True).alias("failed"), own.alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"))
+    right = everyone.drop("n_failed").join(counts, ["band", "key"]).select("band", "key", "node", "label", F.lit(False).alias("failed"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), every.alias("j"))
+    marks = texts.join(everyone.select("node").distinct(), "node", "left_semi").mapInArrow(_marked(idf), "node binary, samples binary")
+    blocks = left.unionByName(right).join(marks, "node")
+    return blocks.groupBy("band", "key", "i", "j").applyInArrow(_estimated(least), "node binary, head binary").where("node != head").distinct()
 
 
 def near_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """``rows`` (doc_id, node, text): the rows without text, and the verified links (u, v) between nodes."""
     spark = rows.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(rows))  # DF_BUCKETS numbers of four bytes
-    sampled = written(rows.mapInArrow(_sampled(idf), "doc_id long, node binary, bands array<long>, samples binary"), "samples")
+    sampled = written(rows.mapInArrow(_sampled(idf), "doc_id long, node binary, bands array<long>"), "samples")
     nodes = sampled.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     entries = nodes.select("node", "id", F.posexplode("bands").alias("band", "key"))
     sizes = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -249,20 +276,20 @@ def near_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("central", "node", "id")).alias("top")).select("band", "key", F.col("top.node").alias("leader"), F.col("top.id").alias("leader_id"))
     shared = written(buckets.join(leaders, ["band", "key"]).select("band", "key", "node", "id", "leader", "leader_id"), "led")
     wanted = central.select(F.col("node").alias("wanted"), F.col("id").alias("wanted_id"))
-    texts = rows.join(wanted, (rows.node == wanted.wanted) & rows.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "text")
+    # Texts always meet by sorted shuffles, so that the plan is the same at every size.
+    texts = rows.join(wanted.hint("merge"), (rows.node == wanted.wanted) & rows.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "text")
     texts = written(texts.dropDuplicates(["node"]), "candidate-texts")
-    samples = sampled.join(wanted, (sampled.node == wanted.wanted) & sampled.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "samples").dropDuplicates(["node"])
-
     def verified(pairs: DataFrame) -> DataFrame:
         """``pairs`` (node, head) judged by their texts: node, leader, linked."""
         heads = texts.select(F.col("node").alias("head"), F.col("text").alias("leader_text"))
-        both = pairs.join(texts, "node").join(heads, "head").select("node", F.col("head").alias("leader"), "text", "leader_text")
+        both = pairs.hint("merge").join(texts, "node").hint("merge").join(heads, "head").select("node", F.col("head").alias("leader"), "text", "leader_text")
         return written(both.mapInArrow(_verified(idf, least), "node binary, leader binary, linked boolean"), "verified")
 
     judged = verified(shared.where("node != leader").select("node", F.col("leader").alias("head")).distinct())
     failed = judged.where("not linked").select(F.col("node").alias("n"), F.col("leader").alias("l"))
     tried = judged.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    pairs = _rest(shared, failed, samples).select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head")).distinct()
+    labels = components(judged.where("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")))
+    pairs = _rest(shared, failed, labels, texts, idf, least).select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head")).distinct()
     seen = tried.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("head")).distinct()
     rest = verified(pairs.join(seen, ["node", "head"], "left_anti"))
     links = judged.where("linked").unionByName(rest.where("linked")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
@@ -286,6 +313,6 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
     found = near_duplicates(docs, least, id_col, text_col)
     stays = found.where((F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     stays = written(stays.groupBy(F.col("node").alias("kept_node"), F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    joined = packed.join(stays, (packed.node == stays.kept_node) & packed.doc_id.eqNullSafe(stays.kept_id))
+    joined = packed.join(stays.hint("merge"), (packed.node == stays.kept_node) & packed.doc_id.eqNullSafe(stays.kept_id))
     once = joined.where("n = 1").select("row.*")
     return once.unionByName(joined.where("n > 1").groupBy("kept_node").agg(F.first("row").alias("row")).select("row.*"))
