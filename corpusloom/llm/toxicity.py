@@ -6,7 +6,9 @@ gated recurrent layer read a window of ``WINDOW`` words; attention pools their s
 unit scores the window. The gates use softsign functions, which numpy evaluates quickly.
 
 A document's score is the largest over all windows of its whole text, which start every ``STRIDE``
-words and so overlap, put on the scale of probabilities by a logistic fit.
+words and so overlap, put on the scale of probabilities by a logistic fit. A run of word characters
+of more than ``PIECE`` bytes enters as several words, cut between code points; neighbours overlap
+by all but one byte of the longest n-gram at least, so no n-gram of the run is lost.
 
 Training is by gradient descent in numpy, in one task, on a bounded sample: at most
 ``POSITIVES`` and ``NEGATIVES`` labelled documents, taken by a hash of their ids. The first pass
@@ -34,13 +36,31 @@ from .common import id_remainder, text_rows
 WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 16, 8, 12, 8
 WORD_ROWS, CHAR_ROWS, NGRAMS = 1 << 14, 1 << 16, (3, 4, 5)
 POSITIVES, NEGATIVES, PASSES, BATCH, STEPS = 2_000, 3_000, 5, 128, 100
-KNOWN_WORDS, BLOCK = 200_000, 2_048
+KNOWN_WORDS, BLOCK, PIECE = 200_000, 2_048, 120
 _WORD = re.compile(r"\w+").findall
 
 
 def words_of(text: str) -> list[str]:
     """The lower-cased words of a text; one empty word if there are none."""
-    return _WORD(text.lower()) or [""]
+    words = _WORD(text.lower())
+    if any(4 * len(w) > PIECE for w in words):
+        words = [piece for w in words for piece in (_pieces(w) if 4 * len(w) > PIECE else [w])]
+    return words or [""]
+
+
+def _pieces(word: str) -> list[str]:
+    """The whole word in overlapping pieces of at most ``PIECE`` bytes."""
+    raw = word.encode("utf-8", "surrogatepass")
+    out, at = [], 0
+    while len(raw) - at > PIECE:
+        end = at + PIECE
+        while raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(raw[at:end].decode("utf-8", "surrogatepass"))
+        at = end - max(NGRAMS) + 1
+        while raw[at] & 0xC0 == 0x80:
+            at -= 1
+    return [*out, raw[at:].decode("utf-8", "surrogatepass")]
 
 
 def starts(n: int) -> range:
@@ -50,7 +70,7 @@ def starts(n: int) -> range:
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, rows): of each word, its row of the word table, then rows of the character table."""
-    raw = [b"^" + w.encode("utf-8", "surrogatepass")[:120] + b"$" for w in words]
+    raw = [b"^" + w.encode("utf-8", "surrogatepass") + b"$" for w in words]
     n = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64) + np.uint64(1)
     ends = n.cumsum()

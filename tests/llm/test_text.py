@@ -220,6 +220,20 @@ def test_toxicity_learns(spark, documents, awkward):
     assert toxicity.toxicity(documents([]), table).count() == 0
 
 
+def test_long_runs_are_read_whole():
+    for unit in ("漢字かな", "snake_case_", "ทดสอบ", "é"):
+        run = unit * 400
+        raw, pieces = run.encode(), toxicity.words_of(run + "毒_end")
+        assert all(len(p.encode()) <= toxicity.PIECE for p in pieces)
+        whole = raw + "毒_end".encode()
+        found = {p.encode()[k : k + 5] for p in pieces for k in range(len(p.encode()) - 4)}
+        assert {whole[k : k + 5] for k in range(len(whole) - 4)} <= found
+    scorer = toxicity.Scorer(toxicity.Network(3))
+    clean, tail = scorer(["漢字" * 60, "漢字" * 60 + "毒" * 12]).tolist()
+    assert clean != tail
+    assert toxicity.words_of("a " + "b" * 120) == ["a", "b" * 120]
+
+
 # --- language model ---
 
 
