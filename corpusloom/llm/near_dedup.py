@@ -3,8 +3,9 @@
 A document is the weighted set of its shingles of five words, lower-cased and split at white
 space (a shorter document is one shingle). The weight of a shingle is its count in the document
 times ``1 + ln((1 + N) / (1 + df)) / ln(2 + N)``, a smoothed inverse document frequency between
-1 and 2. Document frequencies are counted over all documents, in ``DF_BUCKETS`` buckets that
-shingles are hashed to: a table of fixed size, whatever the input, that is sent to all tasks.
+1 and 2. Document frequencies are exact counts over all documents: chunks of documents send their
+sorted shingle hashes (64 bits) to shards by range, as many as the input asks for, which send back
+the count of each. Every distinct text then has the frequencies of its own shingles beside it.
 
 Equal texts are one node. Every node gets ``BANDS`` x ``ROWS`` samples; each is equal for two
 documents with a probability of their weighted Jaccard similarity. The variates of a (sample,
@@ -34,19 +35,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_rows, written
 from .components import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
-DF_BUCKETS, SLICES, SALTS = 1 << 21, 64, 16
+CHUNK, SHARD = 1 << 20, 1 << 21
 BLOCK_NODES, MARKS = 2_048, 768
 _VARIATES = 1 << 16
 _BLOCK = 1 << 12
 
 
+def _node(text: Column | str) -> Column:
+    """The node of a text: 128 bits of its SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -66,9 +73,20 @@ def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(_mixed(out), return_counts=True)
 
 
-def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+def weights(hashes: np.ndarray, counts: np.ndarray, idf: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """TF-IDF of each shingle."""
-    return counts * idf[(hashes >> np.uint64(43)).astype(np.int64)]
+    return counts * idf(hashes)
+
+
+def inverse(df: np.ndarray, n: int) -> np.ndarray:
+    """The smoothed inverse of document frequencies among n documents."""
+    return (1 + np.log((1 + n) / (1 + np.minimum(df.astype(np.float64), n))) / np.log(2 + n)).astype(np.float32)
+
+
+def weighted(text: str, df: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a text, ascending, and their weights; ``df`` as :func:`frequencies` gives it."""
+    hashes, counts = shingles(text)
+    return hashes, counts * inverse(np.frombuffer(zlib.decompress(df), np.uint32), n)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -119,53 +137,100 @@ class Sampler:
         return key.view(np.int64)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The document frequencies of one task, in compressed slices, and at slice -1 its documents."""
-    df, docs = np.zeros(DF_BUCKETS, np.uint32), 0
-    for batch in batches:
-        for text in batch["text"].to_pylist():
-            buckets = (shingles(text)[0] >> np.uint64(43)).astype(np.int64)
-            np.add.at(df, buckets, 1)
-            docs += 1
-    if not docs:
-        return
-    parts = [zlib.compress(x.tobytes(), 1) for x in df.reshape(SLICES, -1)]
-    salt = zlib.crc32(parts[0]) % SALTS
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(range(-1, SLICES), pa.int32()), pa.array([salt] * (SLICES + 1), pa.int32()), pa.array([zlib.compress(np.array([docs], np.int64).tobytes()), *parts], pa.binary())], names=["slice", "salt", "df"]
-    )
-
-
-def _summed(key: tuple, rows: pa.Table) -> pa.Table:
-    total = None
-    for part in rows["df"]:
-        own = np.frombuffer(zlib.decompress(part.as_py()), np.int64 if key[0].as_py() < 0 else np.uint32)
-        total = own.astype(np.int64) if total is None else total + own
-    kind = np.int64 if key[0].as_py() < 0 else np.uint32
-    total = np.minimum(total, np.iinfo(kind).max)
-    return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "df": pa.array([zlib.compress(total.astype(kind).tobytes(), 1)], pa.binary())})
-
-
-def inverse_frequencies(rows: DataFrame) -> np.ndarray:
-    """The smoothed inverse document frequency of each bucket, over all rows."""
-    schema = "slice int, salt int, df binary"
-    partial = rows.select("text").mapInArrow(_counted, schema).groupBy("slice", "salt").applyInArrow(_summed, schema)
-    found = {x.slice: x.df for x in partial.groupBy("slice").applyInArrow(_summed, schema).collect()}  # SLICES + 1 rows of fixed size
-    if not found:
-        return np.ones(DF_BUCKETS, np.float32)
-    n = int(np.frombuffer(zlib.decompress(found[-1]), np.int64)[0])
-    df = np.concatenate([np.frombuffer(zlib.decompress(found[k]), np.uint32) for k in range(SLICES)]).astype(np.float64)
-    return (1 + np.log((1 + n) / (1 + np.minimum(df, n))) / np.log(2 + n)).astype(np.float32)
-
-
-def _sampled(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _planes(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte of all: the high bytes are zeros and compress."""
+    return np.diff(ascending, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _ascending(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel().cumsum(dtype=np.uint64)
+
+
+_SENT = "shard int, chunk long, hashes binary, times binary, owners binary, nodes binary"
+_REPLY = "shard int, chunk long, df binary, times binary, owners binary, nodes binary"
+
+
+def _sent(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chunks of documents by shard: distinct hashes, how many documents have each, and which."""
+
+    def chunk(number: int, nodes: list[bytes], found: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.concatenate(found)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found])[order]
+        cuts = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+        out = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own = hashes[cuts[k] : cuts[k + 1]]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            times = np.diff(first, append=len(own)).astype(np.uint16)
+            out.append((k, number, _planes(own[first]), times.tobytes(), owners[cuts[k] : cuts[k + 1]].tobytes(), b"" if out else b"".join(nodes)))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["shard", "chunk", "hashes", "times", "owners", "nodes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        nodes, found, size = [], [], 0
+        for batch in batches:
+            for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                nodes.append(node)
+                found.append(shingles(text)[0])
+                size += len(found[-1])
+                if size >= CHUNK or len(nodes) == 65_535:
+                    yield chunk(number, nodes, found)
+                    nodes, found, size, number = [], [], 0, number + 1
+        if nodes:
+            yield chunk(number, nodes, found)
+
+    return run
+
+
+def _replied(key: tuple, rows: pa.Table) -> pa.Table:
+    """The document frequencies of one shard's hashes over all chunks, for each chunk."""
+    parts = [_ascending(x.as_py()) for x in rows["hashes"]]
+    times = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in rows["times"]])
+    _, place = np.unique(np.concatenate(parts), return_inverse=True)
+    df = np.bincount(place, weights=times)[place].astype(np.uint32)
+    replies = [zlib.compress(x.tobytes(), 1) for x in np.split(df, np.cumsum([len(x) for x in parts])[:-1])]
+    return pa.table({"shard": rows["shard"], "chunk": rows["chunk"], "df": pa.array(replies, pa.binary()), "times": rows["times"], "owners": rows["owners"], "nodes": rows["nodes"]})
+
+
+def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
+    """One chunk's replies, by document: shards ascend as hashes do, so each document's are in order."""
+    rows = rows.sort_by("shard")
+    read = lambda name: [x.as_py() for x in rows[name]]
+    df = np.concatenate([np.repeat(np.frombuffer(zlib.decompress(x), np.uint32), np.frombuffer(t, np.uint16)) for x, t in zip(read("df"), read("times"), strict=True)])
+    owners, nodes = np.frombuffer(b"".join(read("owners")), np.uint16), b"".join(read("nodes"))
+    df = df[np.argsort(owners, kind="stable")]
+    ends = np.bincount(owners, minlength=len(nodes) // 16).cumsum()
+    return pa.table({"node": pa.array([nodes[at : at + 16] for at in range(0, len(nodes), 16)], pa.binary()), "df": pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(df, ends[:-1])], pa.binary())})
+
+
+def frequencies(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` (node, text): of each node the document frequencies of its shingles, ascending by hash, and the number of rows."""
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    sent = rows.select("node", "text").mapInArrow(_sent(1 + int(size) // (6 * SHARD)), _SENT)  # a word has some six characters
+    replies = sent.groupBy("shard").applyInArrow(_replied, _REPLY)
+    found = replies.groupBy("chunk").applyInArrow(_gathered, "node binary, df binary")
+    return written(found.groupBy("node").agg(F.first("df").alias("df")), "frequencies"), n
+
+
+def inverse_frequencies(rows: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """A lookup of inverse document frequencies by hash, for tables that the driver can hold."""
+    rows = rows.select(_node("text").alias("node"), "text")
+    found, n = frequencies(rows)
+    table: dict[int, int] = {}
+    for row in rows.dropDuplicates(["node"]).join(found, "node").collect():
+        table.update(zip(shingles(row.text)[0].tolist(), np.frombuffer(zlib.decompress(row.df), np.uint32).tolist(), strict=True))
+    return lambda hashes: inverse(np.array([table[h] for h in hashes.tolist()], np.uint32), n)
+
+
+def _sampled(n_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, table = Sampler(), idf.value
+        sampler = Sampler()
         for batch in batches:
             keys = []
-            for text in batch["text"].to_pylist():
-                hashes, counts = shingles(text)
-                keys.append(sampler.bands(sampler(hashes, weights(hashes, counts, table))))
+            for text, df in zip(batch["text"].to_pylist(), batch["df"].to_pylist(), strict=True):
+                keys.append(sampler.bands(sampler(*weighted(text, df, n_docs))))
             n = len(keys)
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(flat))
@@ -174,37 +239,30 @@ def _sampled(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
     return run
 
 
-def _marked(idf) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _marked(n_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The band keys of each text, then ``MARKS`` further samples, a byte of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, sampler, table = Sampler(), Sampler(MARKS), idf.value
+        first, sampler = Sampler(), Sampler(MARKS)
         for batch in batches:
             marks = []
-            for text in batch["text"].to_pylist():
-                hashes, counts = shingles(text)
-                weight = weights(hashes, counts, table)
+            for text, df in zip(batch["text"].to_pylist(), batch["df"].to_pylist(), strict=True):
+                hashes, weight = weighted(text, df, n_docs)
                 marks.append(first.bands(first(hashes, weight)).tobytes() + (sampler(hashes, weight) >> np.uint64(56)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(marks, pa.binary())], names=["node", "samples"])
 
     return run
 
 
-def _verified(idf, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _verified(n_docs: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
         leader, vector = None, None
-
-        def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
-            hashes, counts = shingles(text)
-            return hashes, weights(hashes, counts, table)
-
         for batch in batches:
             out = []
-            for name, own, text in zip(batch["leader"].to_pylist(), batch["text"].to_pylist(), batch["leader_text"].to_pylist(), strict=True):
+            for name, own, df, text, leader_df in zip(*[batch[c].to_pylist() for c in ("leader", "text", "df", "leader_text", "leader_df")], strict=True):
                 if name != leader:
-                    leader, vector = name, weighted(text)
-                out.append(similarity(weighted(own), vector) >= least)
+                    leader, vector = name, weighted(text, leader_df, n_docs)
+                out.append(similarity(weighted(own, df, n_docs), vector) >= least)
             yield pa.RecordBatch.from_arrays([batch["node"], batch["leader"], pa.array(out, pa.bool_())], names=["node", "leader", "linked"])
 
     return run
@@ -212,7 +270,7 @@ def _verified(idf, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, node (128 bits of the SHA-256 of the text) and text of every row."""
-    return text_rows(docs, id_col, text_col).select("doc_id", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("node"), "text")
+    return text_rows(docs, id_col, text_col).select("doc_id", _node("text").alias("node"), "text")
 
 
 def _estimated(least: float) -> Callable[[tuple, pa.Table], pa.Table]:
@@ -244,7 +302,7 @@ def _open_pairs(band: int, rows: pa.Table, open_from: float) -> pa.Table:
     return pa.table({"node": u, "head": v})
 
 
-def _rest(shared: DataFrame, failed: DataFrame, labels: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+def _rest(shared: DataFrame, failed: DataFrame, labels: DataFrame, texts: DataFrame, n_docs: int, least: float) -> DataFrame:
     """The open pairs (node, head) of failed nodes with the nodes of other classes (node, label) in their buckets."""
     named = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = named.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("band", "key")
@@ -257,16 +315,19 @@ def _rest(shared: DataFrame, failed: DataFrame, labels: DataFrame, texts: DataFr
     own, every = F.pmod(F.xxhash64("node"), lefts).cast("int"), F.pmod(F.xxhash64("node"), rights).cast("int")
     left = bad.join(counts, ["band", "key"]).select("band", "key", "node", "label", F.lit(True).alias("failed"), own.alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"))
     right = everyone.drop("n_failed").join(counts, ["band", "key"]).select("band", "key", "node", "label", F.lit(False).alias("failed"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), every.alias("j"))
-    marks = texts.join(everyone.select("node").distinct(), "node", "left_semi").mapInArrow(_marked(idf), "node binary, samples binary")
+    marks = texts.join(everyone.select("node").distinct(), "node", "left_semi").mapInArrow(_marked(n_docs), "node binary, samples binary")
     blocks = left.unionByName(right).join(marks, "node")
     return blocks.groupBy("band", "key", "i", "j").applyInArrow(_estimated(least), "node binary, head binary").where("node != head").distinct()
 
 
 def near_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """``rows`` (doc_id, node, text): the rows without text, and the verified links (u, v) between nodes."""
-    spark = rows.sparkSession
-    idf = spark.sparkContext.broadcast(inverse_frequencies(rows))  # DF_BUCKETS numbers of four bytes
-    sampled = written(rows.mapInArrow(_sampled(idf), "doc_id long, node binary, bands array<long>"), "samples")
+    ids = written(rows.select("doc_id", "node"), "ids")
+    known, n_docs = frequencies(rows)
+    # Texts always meet by sorted shuffles, so that the plan is the same at every size.
+    heads = ids.groupBy("node").agg(F.min("doc_id").alias("id")).join(known, "node").select(F.col("node").alias("head"), F.col("id").alias("head_id"), "df")
+    distinct = rows.join(heads.hint("merge"), (rows.node == heads["head"]) & rows.doc_id.eqNullSafe(heads.head_id)).select("doc_id", "node", "text", "df")
+    sampled = written(distinct.mapInArrow(_sampled(n_docs), "doc_id long, node binary, bands array<long>"), "samples")
     nodes = sampled.groupBy("node").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
     entries = nodes.select("node", "id", F.posexplode("bands").alias("band", "key"))
     sizes = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -275,25 +336,24 @@ def near_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     ranked = buckets.join(central.select("node", "central"), "node")
     leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("central", "node", "id")).alias("top")).select("band", "key", F.col("top.node").alias("leader"), F.col("top.id").alias("leader_id"))
     shared = written(buckets.join(leaders, ["band", "key"]).select("band", "key", "node", "id", "leader", "leader_id"), "led")
-    wanted = central.select(F.col("node").alias("wanted"), F.col("id").alias("wanted_id"))
-    # Texts always meet by sorted shuffles, so that the plan is the same at every size.
-    texts = rows.join(wanted.hint("merge"), (rows.node == wanted.wanted) & rows.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "text")
+    wanted = central.join(known, "node").select(F.col("node").alias("wanted"), F.col("id").alias("wanted_id"), "df")
+    texts = rows.join(wanted.hint("merge"), (rows.node == wanted.wanted) & rows.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "text", "df")
     texts = written(texts.dropDuplicates(["node"]), "candidate-texts")
     def verified(pairs: DataFrame) -> DataFrame:
         """``pairs`` (node, head) judged by their texts: node, leader, linked."""
-        heads = texts.select(F.col("node").alias("head"), F.col("text").alias("leader_text"))
-        both = pairs.hint("merge").join(texts, "node").hint("merge").join(heads, "head").select("node", F.col("head").alias("leader"), "text", "leader_text")
-        return written(both.mapInArrow(_verified(idf, least), "node binary, leader binary, linked boolean"), "verified")
+        heads = texts.select(F.col("node").alias("head"), F.col("text").alias("leader_text"), F.col("df").alias("leader_df"))
+        both = pairs.hint("merge").join(texts, "node").hint("merge").join(heads, "head").select("node", F.col("head").alias("leader"), "text", "df", "leader_text", "leader_df")
+        return written(both.mapInArrow(_verified(n_docs, least), "node binary, leader binary, linked boolean"), "verified")
 
     judged = verified(shared.where("node != leader").select("node", F.col("leader").alias("head")).distinct())
     failed = judged.where("not linked").select(F.col("node").alias("n"), F.col("leader").alias("l"))
     tried = judged.select(F.col("node").alias("a"), F.col("leader").alias("b"))
     labels = components(judged.where("linked").select(F.col("node").alias("u"), F.col("leader").alias("v")))
-    pairs = _rest(shared, failed, labels, texts, idf, least).select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head")).distinct()
+    pairs = _rest(shared, failed, labels, texts, n_docs, least).select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head")).distinct()
     seen = tried.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("head")).distinct()
     rest = verified(pairs.join(seen, ["node", "head"], "left_anti"))
     links = judged.where("linked").unionByName(rest.where("linked")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    return sampled.select("doc_id", "node"), links
+    return ids, links
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +369,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each class: its least id (of rows that repeat it, one)."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"), F.substring(F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)), 1, 16).alias("node"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"), _node(F.coalesce(docs[text_col], F.lit(""))).alias("node"))
     found = near_duplicates(docs, least, id_col, text_col)
     stays = found.where((F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
     stays = written(stays.groupBy(F.col("node").alias("kept_node"), F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")

@@ -156,6 +156,22 @@ def test_near_classes_against_all_pairs(spark, documents, awkward):
     assert near_dedup.near_duplicates(documents([])).count() == 0
 
 
+def test_document_frequencies_are_exact(spark, documents, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHARD", 1 << 14)
+    rng = random.Random(2)
+    shared = [words(rng, 30) for _ in range(4)]
+    rows = [(i, " ".join(words(rng, 3_000) + shared[i % 4] + shared[i % 3])) for i in range(150)]
+    rows += [(i, rows[0][1]) for i in range(900, 903)] + [(999, None), (998, "")]
+    found = [near_dedup.shingles(t or "") for _, t in rows]
+    df = collections.Counter(h for hashes, _ in found for h in hashes.tolist())
+    assert len(df) > 400_000  # many would meet in a table of 2^21 buckets
+    idf = near_dedup.inverse_frequencies(common.text_rows(documents(rows)))
+    n = len(rows)
+    for hashes, counts in found:
+        want = counts * (1 + np.log((1 + n) / (1 + np.array([df[h] for h in hashes.tolist()]))) / np.log(2 + n))
+        assert np.allclose(near_dedup.weights(hashes, counts, idf), want, rtol=1e-6)
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)]
