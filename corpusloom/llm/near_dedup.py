@@ -18,10 +18,10 @@ In a group of near copies that is nearly always the text that the others were ma
 group of any size costs as many comparisons as it has nodes.
 
 Nodes that fail are compared with every node of their bucket that is not of their class already, by
-samples first: blocks of at most ``BLOCK_NODES`` of them meet blocks of all nodes of the bucket, and
-the pairs whose share of equal samples, of ``MARKS`` more samples of those nodes, is at most three standard deviations below the
-threshold are verified by their texts too. No bucket, partner or candidate is capped. Links become
-classes as connected components.
+bounds first: blocks of at most ``BLOCK_NODES`` of them meet blocks of all nodes of the bucket. The
+weights of a node are summed in ``PLACES`` places by hash; the lesser sums of two nodes bound what
+they share from above, so a pair at the threshold always stays open, and every open pair is verified
+by its texts too. No bucket, partner or candidate is capped. Links become classes as connected components.
 
 Defined results: a null text is empty; empty texts form one class; a class is named by its
 least non-null id (null if it has none); rows that repeat an id keep their own classes, and all
@@ -44,7 +44,7 @@ from .components import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
 CHUNK, SHARD = 1 << 20, 1 << 21
-BLOCK_NODES, MARKS = 2_048, 768
+BLOCK_NODES, PLACES = 2_048, 512
 _VARIATES = 1 << 16
 _BLOCK = 1 << 12
 
@@ -239,16 +239,35 @@ def _sampled(n_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def summed(hashes: np.ndarray, weight: np.ndarray) -> bytes:
+    """The total weight, then the weight at each of ``PLACES`` places in two bytes, rounded up."""
+    exact = np.bincount((hashes % np.uint64(PLACES)).astype(np.int64), weight, PLACES)
+    with np.errstate(over="ignore"):
+        places = exact.astype(np.float16)
+    low = places.astype(np.float64) < exact
+    places[low] = np.nextafter(places[low], np.float16(np.inf))
+    return np.float64(exact.sum()).tobytes() + places.tobytes()
+
+
+def may_reach(total: float, places: np.ndarray, totals: np.ndarray, others: np.ndarray, least: float) -> np.ndarray:
+    """Which of the others could be as similar as ``least``: False only where none of it is possible."""
+    least *= 1 - 1e-4  # for rounding
+    out = np.minimum(total, totals) >= least * np.maximum(total, totals)
+    shared = np.minimum(others[out], places).sum(axis=1, dtype=np.float64)
+    out[out] = shared >= least * (total + totals[out] - shared)
+    return out
+
+
 def _marked(n_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The band keys of each text, then ``MARKS`` further samples, a byte of each."""
+    """The band keys of each text, then its summed weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, sampler = Sampler(), Sampler(MARKS)
+        sampler = Sampler()
         for batch in batches:
             marks = []
             for text, df in zip(batch["text"].to_pylist(), batch["df"].to_pylist(), strict=True):
                 hashes, weight = weighted(text, df, n_docs)
-                marks.append(first.bands(first(hashes, weight)).tobytes() + (sampler(hashes, weight) >> np.uint64(56)).astype(np.uint8).tobytes())
+                marks.append(sampler.bands(sampler(hashes, weight)).tobytes() + summed(hashes, weight))
             yield pa.RecordBatch.from_arrays([batch["node"], pa.array(marks, pa.binary())], names=["node", "samples"])
 
     return run
@@ -273,20 +292,21 @@ def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return text_rows(docs, id_col, text_col).select("doc_id", _node("text").alias("node"), "text")
 
 
-def _estimated(least: float) -> Callable[[tuple, pa.Table], pa.Table]:
-    """A block of failed nodes against a block of the nodes of their bucket: the pairs that their samples leave open."""
-    open_from = least - 3 * np.sqrt(least * (1 - least) / MARKS)
+def _bounded(least: float) -> Callable[[tuple, pa.Table], pa.Table]:
+    """A block of failed nodes against a block of the nodes of their bucket: the pairs that their bounds leave open."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        return _open_pairs(key[0].as_py(), rows, open_from)
+        return _open_pairs(key[0].as_py(), rows, least)
 
     return run
 
 
-def _open_pairs(band: int, rows: pa.Table, open_from: float) -> pa.Table:
+def _open_pairs(band: int, rows: pa.Table, least: float) -> pa.Table:
     """A pair is judged in the first band that it shares: of two nodes of different classes, one has failed in every bucket that they share."""
     both = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-    keys, marks = np.ascontiguousarray(both[:, : 8 * band]).view(np.int64), both[:, 8 * BANDS :]
+    keys = np.ascontiguousarray(both[:, : 8 * band]).view(np.int64)
+    totals = np.ascontiguousarray(both[:, 8 * BANDS : 8 * BANDS + 8]).view(np.float64).ravel()
+    places = np.ascontiguousarray(both[:, 8 * BANDS + 8 :]).view(np.float16).astype(np.float32)
     failed = np.flatnonzero(rows["failed"].to_numpy(zero_copy_only=False))
     others = np.flatnonzero(~rows["failed"].to_numpy(zero_copy_only=False))
     labels = np.unique(np.array(rows["label"].to_pylist(), object), return_inverse=True)[1]
@@ -295,7 +315,7 @@ def _open_pairs(band: int, rows: pa.Table, open_from: float) -> pa.Table:
     for at in failed.tolist():
         strangers = others[labels[others] != labels[at]]
         strangers = strangers[~(keys[strangers] == keys[at]).any(axis=1)]
-        near = strangers[(marks[strangers] == marks[at]).mean(axis=1) >= open_from]
+        near = strangers[may_reach(totals[at], places[at], totals[strangers], places[strangers], least)]
         left += [at] * len(near)
         right += near.tolist()
     u, v = nodes.take(pa.array(left, pa.int64())), nodes.take(pa.array(right, pa.int64()))
@@ -317,7 +337,7 @@ def _rest(shared: DataFrame, failed: DataFrame, labels: DataFrame, texts: DataFr
     right = everyone.drop("n_failed").join(counts, ["band", "key"]).select("band", "key", "node", "label", F.lit(False).alias("failed"), F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), every.alias("j"))
     marks = texts.join(everyone.select("node").distinct(), "node", "left_semi").mapInArrow(_marked(n_docs), "node binary, samples binary")
     blocks = left.unionByName(right).join(marks, "node")
-    return blocks.groupBy("band", "key", "i", "j").applyInArrow(_estimated(least), "node binary, head binary").where("node != head").distinct()
+    return blocks.groupBy("band", "key", "i", "j").applyInArrow(_bounded(least), "node binary, head binary").where("node != head").distinct()
 
 
 def near_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -172,6 +173,30 @@ def test_document_frequencies_are_exact(spark, documents, monkeypatch):
         assert np.allclose(near_dedup.weights(hashes, counts, idf), want, rtol=1e-6)
 
 
+def test_no_pair_at_the_threshold_is_left_out():
+    rng = random.Random(11)
+    vocabulary, texts = words(rng, 3_000), []
+    for n in (1, 3, 40, 400, 3_000):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        for edits in (0, 1, n // 90, n // 50, n // 10, n):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(n)] = rng.choice(vocabulary)
+            texts.append(" ".join(own))
+    texts += ["word " * 200_000, "word " * 170_000, "word " * 120_000]
+    vectors = [(h, c * (1 + (h % np.uint64(97)).astype(float) / 97)) for h, c in map(near_dedup.shingles, texts)]
+    samples = [bytes(8 * near_dedup.BANDS) + near_dedup.summed(*v) for v in vectors]
+    n, names = len(texts), [b"%016d" % i for i in range(len(texts))]
+    rows = pa.table({"node": names * 2, "label": names * 2, "failed": [True] * n + [False] * n, "samples": samples * 2})
+    found = near_dedup._open_pairs(0, rows, 0.8)
+    opened = set(zip(found["node"].to_pylist(), found["head"].to_pylist(), strict=True))
+    for i in range(n):
+        for j in range(n):
+            if i != j and near_dedup.similarity(vectors[i], vectors[j]) >= 0.8:
+                assert (names[i], names[j]) in opened
+    assert len(opened) < n * (n - 1) / 4
+
+
 def test_components(spark):
     rng = random.Random(7)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(25)]
