@@ -2,18 +2,24 @@
 
 A chunk of documents is cut into words by the tokenizer's pattern, and only the words that the
 chunk is the first of its partition to show go on to the merges. These are a fold in Spark
-higher-order functions: a word starts as the array of the ids of its bytes, with the ranks of all
-adjacent pairs from a literal rank map; each step replaces the first pair of the least rank by the
-id of their union and looks up the two new pairs, until no pair has a rank. (In a rank file the id of a piece is its
-rank.) The ids of the words are then put together again document by document, in the same task;
-no word is shuffled. Decoding concatenates the binary pieces of the ids.
+higher-order functions over an array of the word's pieces, each with the rank of the pair that it
+begins, by a literal rank map: a step replaces the first pair of the least rank by the id of their
+union and looks up the two new pairs, until no pair has a rank. (In a rank file the id of a piece
+is its rank.) The ids of the words are then put together again document by document, in the same
+task; no word is shuffled. Decoding concatenates the binary pieces of the ids.
+
+A word starts as the ids of its bytes, but for what tables of the rank file's size settle beforehand
+(:class:`Settled`): neighbouring ids that merge before anything could part them start as one, in
+``ROUNDS`` rounds, and a word that is itself a piece starts as that, as it also does in the library. Of a
+word of more than ``LONG_WORD`` bytes the fold would take time by the square of its length; such
+words are merged by the same rule with a heap (:func:`merged_by_heap`), in n log n.
 
 The rank map is a pair of literal arrays of fixed size, made from the rank file alone
 (:func:`rank_table`); a Spark map literal would be searched from its start on every lookup.
 
-Memory: a chunk holds about ``CHUNK_BYTES`` of text, or one document if that is longer; the
-words known in a partition are forgotten after ``KNOWN_WORDS``, which changes only how often a
-word is merged again.
+Memory: a chunk holds about ``CHUNK_BYTES`` of text, or one document if that is longer, and passes
+on as one row for each word and each document; the words known in a partition are forgotten after
+``KNOWN_WORDS``, which changes only how often a word is merged again.
 
 Defined results: a null text is empty and has no ids; ids decode to exactly the bytes of the
 text; rows that repeat an id stay apart; an empty table gives an empty result.
@@ -23,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -35,8 +42,12 @@ from pyspark.sql import functions as F
 
 from .common import text_rows
 
-CHUNK_BYTES, KNOWN_WORDS, END, ID, NONE = 1 << 20, 300_000, 65_535, 1 << 17, 1 << 40
-CHUNK = "fresh boolean, words array<array<bigint>>, doc_ids array<long>, lengths array<int>, refs binary"
+CHUNK_BYTES, KNOWN_WORDS, LONG_WORD, WORDS_STEP, STEP = 1 << 20, 300_000, 1_024, 8_192, 256
+#: The mark at both ends of a word; no rank; where an element's rank begins, above its place (added when compared) and id.
+END, NONE, PLACE, RANK, ROUNDS, GONE = 65_535, 1 << 33, 16, 27, 2, -1
+#: Rows of a partition in order: the words that a chunk is first to show, then its documents as numbers of words.
+WORD, DOCUMENT, FORGET = 0, 1, 2
+CHUNK = "kind int, word array<bigint>, doc_id long, refs binary"
 
 
 @lru_cache(maxsize=4)
@@ -104,38 +115,147 @@ def rank_map(path: str) -> tuple[Column, Column]:
     return _literal(shift, "int"), _literal(np.where(slots < 0, NONE, slots), "bigint")
 
 
-def initial_ranks(path: str) -> np.ndarray:
-    """The rank of each pair of bytes at ``first * 257 + second``; 256 is the end mark; ``NONE`` where there is none."""
+def _lookup(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """The value of each key in a sorted table whose last key is beyond all; ``NONE`` where there is none."""
+    at = np.searchsorted(table[0], wanted)
+    return np.where(table[0][at] == wanted, table[1][at], NONE)
+
+
+def _sorted_table(found: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.array(sorted(found) + [1 << 40], np.int64)
+    return keys, np.array([found.get(k, NONE) for k in keys.tolist()], np.int64)
+
+
+class Settled:
+    """What is known of a rank file beforehand, as tables of its size.
+
+    ``pairs``: the rank of ``left << 16 | right``; ``of_bytes``: the same of two bytes, at ``first * 257 + second``
+    (256 is the end mark). ``from_left``: at ``byte << 16 | id``, the least rank at which any piece that ends in the byte
+    takes the id from the left; ``from_right``: at ``id << 9 | byte``, the least at which the id takes any
+    piece that begins with the byte. A pair whose rank is below that of its left id from the left and that of its right id
+    from the right therefore merges whatever becomes of its neighbours: nothing can part it before.
+    """
+
+    def __init__(self, path: str):
+        pieces, table = list_of_pieces(path), ranks(path)
+        pairs, left, right = {}, {}, {}
+        for a, b, rank in merges(table):
+            pairs[a << 16 | b] = rank
+            at = pieces[a][-1] << 16 | b
+            left[at] = min(left.get(at, NONE), rank)
+            at = a << 9 | pieces[b][0]
+            right[at] = min(right.get(at, NONE), rank)
+        self.pairs, self.from_left, self.from_right = map(_sorted_table, (pairs, left, right))
+        self.number = np.array([*(table[bytes([i])] for i in range(256)), END], np.int64)
+        self.of_bytes = _lookup(self.pairs, (self.number[:, None] << 16 | self.number[None, :]).ravel())
+        self.first, self.last = np.full(1 << 16, 256, np.int64), np.full(1 << 16, 256, np.int64)
+        for rank, piece in enumerate(pieces):
+            if piece:
+                self.first[rank], self.last[rank] = piece[0], piece[-1]
+
+    def ranks(self, ids: np.ndarray) -> np.ndarray:
+        """The rank of each id with the next."""
+        return _lookup(self.pairs, ids[:-1] << 16 | ids[1:])
+
+    def joined(self, ids: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Where ``ids`` (END, a word, END, END, a word, ...) have pairs that merge whatever becomes of their neighbours."""
+        least = rank < NONE
+        least[1:] &= rank[1:] < rank[:-1]
+        least[:-1] &= rank[:-1] < rank[1:]
+        at = np.flatnonzero(least)
+        sure = (_lookup(self.from_left, self.last[ids[at - 1]] << 16 | ids[at]) > rank[at]) & (_lookup(self.from_right, ids[at + 1] << 9 | self.first[ids[at + 2]]) > rank[at])
+        out = np.zeros(len(ids), bool)
+        out[at[sure]] = True
+        return out
+
+
+@lru_cache(maxsize=2)
+def settled(path: str) -> Settled:
+    return Settled(path)
+
+
+def initial(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, ends) of all words: each an END, the ids that it starts with, an END, with the rank of the pair that each begins."""
+    table, known = ranks(path), settled(path)
+    n = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends = n.cumsum()
+    starts = ends - n
+    flat = np.full(int(n.sum()), 256, np.int64)
+    inner = np.ones(len(flat), bool)
+    inner[starts] = inner[ends - 1] = False
+    flat[inner] = np.frombuffer(b"".join(words), np.uint8)
+    ids, rank = known.number[flat], known.of_bytes[flat[:-1] * 257 + flat[1:]]
+    for _ in range(ROUNDS):
+        joined = known.joined(ids, rank)
+        ids[joined] = rank[joined[:-1]]
+        stays = np.append(True, ~joined[:-1])
+        ids, ends = ids[stays], stays.cumsum()[ends - 1]
+        rank = known.ranks(ids)
+    for k, word in enumerate(words):  # whole pieces, and what the fold would take too long for
+        if len(word) > LONG_WORD or word in table:
+            at, end = (int(ends[k - 1]) if k else 0) + 1, int(ends[k]) - 1
+            done = [table[word]] if word in table else merged_by_heap(word, path)
+            ids[at : at + len(done)], ids[at + len(done) : end] = done, GONE
+            rank[at - 1 : end] = NONE
+    stays = ids != GONE
+    return (np.append(rank, NONE) << RANK | ids)[stays], np.concatenate([[0], stays.cumsum()[ends - 1]])
+
+
+def merged_by_heap(word: bytes, path: str) -> list[int]:
+    """The ids of a word by the fold's rule, with a heap of its pairs by rank and place."""
     table = ranks(path)
-    out = np.full(257 * 257, NONE, np.int64)
-    for a in range(256):
-        for b in range(256):
-            out[a * 257 + b] = table.get(bytes([a, b]), NONE)
+    end, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))  # by start of a piece; an end of 0: merged away
+
+    def push(at: int) -> None:
+        if at >= 0 and end[at] < len(word) and (rank := table.get(word[at : end[end[at]]])) is not None:
+            heapq.heappush(heap, (rank, at, end[end[at]]))
+
+    heap: list[tuple[int, int, int]] = []
+    for at in range(len(word) - 1):
+        push(at)
+    while heap:
+        _, at, till = heapq.heappop(heap)
+        middle = end[at]
+        if not middle or middle >= len(word) or end[middle] != till:
+            continue
+        end[at], end[middle] = till, 0
+        if till < len(word):
+            before[till] = at
+        push(before[at])
+        push(at)
+    out, at = [], 0
+    while at < len(word):
+        out.append(table[word[at : end[at]]])
+        at = end[at]
     return out
 
 
 def merged(word: Column, table: tuple[Column, Column]) -> Column:
-    """The fold of a word's ranked merges over one array: an id, the rank of the pair, an id, and so on.
+    """The fold of a word's ranked merges over its elements, as :func:`initial` gives them.
 
-    ``word`` starts as the ids of its bytes between two ``END``s, with the rank of each adjacent
-    pair between them (2^16 or more where there is none). Ids carry ``ID``, so the least number of the
-    array, if below 2^16, is the rank to merge next. A merge looks up its two new pairs only.
+    A step adds to each element its place, so that the least is the first pair of the least rank; if
+    that rank is below 2^16, it replaces the pair's two elements by the union and looks up two new ranks.
     """
     shift, slots = table
+    least_none = 1 << (RANK + 16)
 
     def rank_of(left: Column, right: Column) -> Column:
         return F.get(slots, (F.get(shift, left.cast("int")) + right).cast("int")).bitwiseXOR(F.shiftleft(left, 16))
 
-    def replaced(x: Column, at: Column) -> Column:
-        rank, left, right = F.get(x, at - 1), F.get(x, at - 4).bitwiseAND(F.lit(0xFFFF)), F.get(x, at + 2).bitwiseAND(F.lit(0xFFFF))
-        return F.flatten(F.array(F.slice(x, F.lit(1), at - 3), F.array(rank_of(left, rank), rank.bitwiseOR(F.lit(ID)), rank_of(rank, right)), F.slice(x, at + 3, F.size(x))))
+    def replaced(x: Column, least: Column) -> Column:
+        at = F.shiftright(least.bitwiseAND(F.lit((1 << RANK) - (1 << PLACE))), PLACE).cast("int")
+        union = F.shiftright(least, RANK)
+        left, right = F.get(x, at - 1).bitwiseAND(F.lit(END)), F.get(x, at + 2).bitwiseAND(F.lit(END))
+        both = F.array(F.shiftleft(rank_of(left, union), RANK).bitwiseOR(left), F.shiftleft(rank_of(union, right), RANK).bitwiseOR(union))
+        return F.concat(F.slice(x, F.lit(1), at - 1), both, F.slice(x, at + 3, F.size(x)))
 
     def step(x: Column) -> Column:
-        place = F.array_position(x, F.array_min(x)).cast("int")
-        return F.when(F.array_min(x) >= 1 << 16, x).otherwise(F.get(F.transform(F.array(place), lambda at: replaced(x, at)), 0))
+        least = F.array_min(F.transform(x, lambda e, i: e + F.shiftleft(i.cast("long"), PLACE)))
+        return F.when(F.array_min(x) >= least_none, x).otherwise(F.get(F.transform(F.array(least), lambda e: replaced(x, e)), 0))
 
-    # A word of n bytes merges n - 1 times at most, and starts with 2 n + 3 numbers.
-    return F.aggregate(F.sequence(F.lit(2), F.greatest((F.size(word) - 3) / 2, F.lit(2)).cast("int")), word, lambda x, _: step(x))
+    # A word of n ids merges n - 1 times at most, and has n + 2 elements.
+    times = F.when(F.array_min(word) >= least_none, F.lit(1)).otherwise(F.greatest(F.size(word) - 3, F.lit(1)))
+    return F.aggregate(F.sequence(F.lit(1), times), word, lambda x, _: step(x))
 
 
 def _chunks(pattern: str, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -143,47 +263,41 @@ def _chunks(pattern: str, path: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
         import regex
 
         find = regex.compile(pattern).findall
-        number = np.array([*(ranks(path)[bytes([i])] for i in range(256)), END], np.int64) | ID
-        first_ranks = initial_ranks(path)
         known: defaultdict[str, int] = defaultdict(count().__next__)
         ids: list[int | None] = []
-        lengths: list[int] = []
-        refs: list[np.ndarray] = []
-        sent, size, fresh = 0, 0, True
+        refs: list[bytes] = []
+        sent, size = 0, 0
+
+        def rows(kind: int, words: pa.Array, doc_ids: list[int | None], numbers: list[bytes]) -> pa.RecordBatch:
+            n = max(len(words), len(doc_ids), int(kind == FORGET))
+            none = lambda a, t: a if len(a) else pa.nulls(n, t)
+            columns = [pa.array(np.full(n, kind, np.int32)), none(words, pa.list_(pa.int64())), none(pa.array(doc_ids, pa.int64()), pa.int64()), none(pa.array(numbers, pa.binary()), pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "word", "doc_id", "refs"])
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             words = [w.encode("utf-8", "surrogatepass") for w in islice(known, sent, None)]
-            n = np.fromiter(map(len, words), np.int64, len(words)) + 2
-            ends = np.concatenate([[0], n.cumsum()])
-            flat = np.full(ends[-1], 256, np.int64)
-            inner = np.ones(ends[-1], bool)
-            inner[ends[:-1]] = inner[ends[1:] - 1] = False
-            flat[inner] = np.frombuffer(b"".join(words), np.uint8)
-            both = np.empty(2 * len(flat), np.int64)  # an id, then the rank of its pair; a word's last id has none
-            both[::2] = number[flat]
-            both[1:-1:2] = first_ranks[flat[:-1] * 257 + flat[1:]]
-            stays = np.ones(len(both), bool)
-            stays[2 * ends[1:] - 1] = False
-            coded = pa.ListArray.from_arrays(pa.array(2 * ends - np.arange(len(ends)), pa.int32()), pa.array(both[stays]))
-            row = [pa.array([fresh]), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), coded), pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([np.concatenate(refs).tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(row, names=["fresh", "words", "doc_ids", "lengths", "refs"])
+            for at in range(0, len(words), WORDS_STEP):
+                elements, ends = initial(words[at : at + WORDS_STEP], path)
+                yield rows(WORD, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements)), [], [])
+            yield rows(DOCUMENT, [], ids, refs)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                words = find(text)
-                refs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-                ids.append(doc_id)
-                lengths.append(len(words))
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    yield out()
-                    fresh = len(known) > KNOWN_WORDS
-                    if fresh:
-                        known = defaultdict(count().__next__)
-                    sent, size = len(known), 0
-                    ids.clear(), lengths.clear(), refs.clear()
+            for at in range(0, batch.num_rows, STEP):
+                part = batch.slice(at, STEP)
+                for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    words = find(text)
+                    refs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)).tobytes())
+                    ids.append(doc_id)
+                    size += len(text)
+                    if size >= CHUNK_BYTES:
+                        yield from out()
+                        if len(known) > KNOWN_WORDS:
+                            known = defaultdict(count().__next__)
+                            yield rows(FORGET, [], [], [])
+                        sent, size = len(known), 0
+                        ids, refs = [], []
         if ids:
-            yield out()
+            yield from out()
 
     return run
 
@@ -191,35 +305,42 @@ def _chunks(pattern: str, path: str) -> Callable[[Iterator[pa.RecordBatch]], Ite
 def _assembled(finish: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = finish()
-        flat, starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+        flat, starts = [np.empty(0, np.uint16)], [np.zeros(1, np.int64)]
         for batch in batches:
-            for row in range(batch.num_rows):
-                coded = batch["coded"][row].values
-                offsets = coded.offsets.to_numpy().astype(np.int64)
-                values = coded.values[offsets[0] : offsets[-1]].to_numpy(zero_copy_only=False)
-                # Of a word's 2 n + 3 numbers, n are ids: every second one, but for the marks at both ends.
-                n = (np.diff(offsets) - 3) // 2
-                place = np.repeat(offsets[:-1] - offsets[0] + 2, n) + 2 * (np.arange(n.sum()) - np.repeat(n.cumsum() - n, n))
-                values, ends = values[place] & 0xFFFF, n.cumsum()
-                if batch["fresh"][row].as_py():
-                    flat, starts = np.empty(0, np.int32), np.zeros(1, np.int64)
-                starts = np.concatenate([starts, starts[-1] + ends])
-                flat = np.concatenate([flat, values.astype(np.int32)])
-                refs = np.frombuffer(batch["refs"][row].as_py(), np.int32)
-                n = starts[refs + 1] - starts[refs]
-                first = np.repeat(starts[refs] - np.concatenate([[0], n.cumsum()[:-1]]) if len(n) else n, n)
-                ids = flat[first + np.arange(len(first))]
-                per_doc = batch["lengths"][row].values.to_numpy()
-                cut = np.concatenate([[0], n.cumsum()])[np.concatenate([[0], per_doc.cumsum()])]
-                yield make(batch["doc_ids"][row].values, ids, cut)
+            kinds = batch["kind"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at == end:
+                    continue
+                if kinds[at] == FORGET:
+                    flat, starts = [np.empty(0, np.uint16)], [np.zeros(1, np.int64)]
+                elif kinds[at] == WORD:
+                    coded = batch["coded"].slice(at, end - at)
+                    offsets = coded.offsets.to_numpy().astype(np.int64)
+                    values = coded.values[offsets[0] : offsets[-1]].to_numpy(zero_copy_only=False)
+                    n = np.diff(offsets) - 2  # without the marks at both ends
+                    place = np.repeat(offsets[:-1] - offsets[0] + 1 - n.cumsum() + n, n) + np.arange(n.sum())
+                    flat.append((values[place] & END).astype(np.uint16))
+                    starts.append(starts[-1][-1] + n.cumsum())
+                else:
+                    flat, starts = [np.concatenate(flat)], [np.concatenate(starts)]
+                    for k in range(at, end, STEP):
+                        yield documents(batch.slice(k, min(STEP, end - k)), flat[0], starts[0], make)
+
+    def documents(rows: pa.RecordBatch, flat: np.ndarray, starts: np.ndarray, make: Callable) -> pa.RecordBatch:
+        numbers = rows["refs"].to_pylist()
+        refs = np.frombuffer(b"".join(numbers), np.int32)
+        n = starts[refs + 1] - starts[refs]
+        ids = flat[np.repeat(starts[refs] - n.cumsum() + n, n) + np.arange(n.sum())]
+        words = np.fromiter(map(len, numbers), np.int64, len(numbers)) // 4
+        return make(rows["doc_id"], ids, np.concatenate([[0], n.cumsum()])[np.concatenate([[0], words.cumsum()])])
 
     return run
 
 
 def _coded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> DataFrame:
     chunks = text_rows(docs, id_col, text_col).mapInArrow(_chunks(pattern, path), CHUNK)
-    lookup = rank_map(path)
-    return chunks.select("fresh", F.transform("words", lambda w: merged(w, lookup)).alias("coded"), "doc_ids", "lengths", "refs")
+    return chunks.select("kind", F.when(F.col("word").isNotNull(), merged(F.col("word"), rank_map(path))).alias("coded"), "doc_id", "refs")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
