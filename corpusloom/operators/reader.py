@@ -63,6 +63,13 @@ def skewed_column(body: DataFrame, tolerance: float = OCR_TOLERANCE) -> DataFram
     return joined.select("paper_id", slope.alias("slope"), F.when(F.col("n") >= 3, F.col("mx") - slope * F.col("my")).otherwise(F.col("column")).alias("intercept"))
 
 
+def ascending(lines: Column) -> Column:
+    """Of ordered structs with a number ``n``: those that carry on 1, 2, 3 ... (99 at most, as numbers have two digits)."""
+    start = F.struct(F.lit(1).alias("next"), F.filter(lines, lambda _: F.lit(False)).alias("kept"))
+    taken = lambda a, x: F.struct((a["next"] + 1).alias("next"), F.concat(a["kept"], F.array(x)).alias("kept"))
+    return F.aggregate(lines, start, lambda a, x: F.when(x["n"] == a["next"], taken(a, x)).otherwise(a), lambda a: a["kept"])
+
+
 def find_markers(body: DataFrame, columns: DataFrame, tolerance: float = TEXT_TOLERANCE) -> DataFrame:
     """paper_id, pos, ord, page, y0, rest: the lines in the column that carry on the numbers 1, 2, 3 ...
 
@@ -72,9 +79,7 @@ def find_markers(body: DataFrame, columns: DataFrame, tolerance: float = TEXT_TO
     lines = body.join(columns, "paper_id").where(near & ~F.col("body").rlike(STOP_LINE) & F.col("body").rlike(MARKER))
     numbered = lines.select("paper_id", F.struct("ord", F.regexp_extract("body", MARKER, 1).cast("int").alias("n"), "page", "y0", stripped(F.regexp_extract("body", MARKER, 2)).alias("rest")).alias("line"))
     ordered = numbered.groupBy("paper_id").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    start = F.struct(F.lit(1).alias("next"), F.filter("lines", lambda _: F.lit(False)).alias("kept"))
-    taken = F.aggregate("lines", start, lambda a, x: F.when(x["n"] == a["next"], F.struct((a["next"] + 1).alias("next"), F.concat(a["kept"], F.array(x)).alias("kept"))).otherwise(a), lambda a: a["kept"])
-    return ordered.select("paper_id", F.explode(taken).alias("m")).select("paper_id", F.col("m.n").alias("pos"), "m.ord", "m.page", "m.y0", "m.rest")
+    return ordered.select("paper_id", F.explode(ascending(F.col("lines"))).alias("m")).select("paper_id", F.col("m.n").alias("pos"), "m.ord", "m.page", "m.y0", "m.rest")
 
 
 def cut_points(markers: DataFrame, body: DataFrame) -> DataFrame:

@@ -13,13 +13,15 @@ def test_bank(spark):
         (2, "goes on\n[ABCJC/2013/Promo/Q4]\nnext body\nQ2. Second § one\n3\ngarbled"),
         (3, "Answers\n1. 5"),
         (4, "\x03\x03\x03\x03 solution Q1."),
-        (41, "Q1. Expand"),
+        (41, "Topic 2\nQ1. Expand"),
     ]
     rows = books.bank_questions(spark.createDataFrame(pages, "page int, text string")).orderBy("id").collect()
     assert [r.id for r in rows] == ["topical-t01-q001", "topical-t01-q002", "topical-t01-q003", "topical-t02-q001"]
     assert (rows[0].text, rows[0].year, rows[0].school, rows[0].page) == ("Find the sum unnumbered question starts goes on", 2013, "ABCJC", 1)
     assert (rows[1].exam, rows[1].question_no, rows[1].text) == ("Promo", "4", "next body") and rows[2].text == "Second one"
     assert rows[3].chapter is None and rows[3].topic == "Binomial Thoerem"
+    with pytest.raises(books.BookError, match="does not open topic 3"):
+        books.bank_questions(spark.createDataFrame([*pages, (58, "Q1. no heading")], "page int, text string"))
     with pytest.raises(books.BookError):
         books.bank_questions(spark.createDataFrame([*pages, (5, "Q3. late")], "page int, text string"))
 
