@@ -9,8 +9,10 @@ the sum spreads the gaps and leaves 1 to 5 % more sequences on measured lengths.
 Only (document, piece, length) rows are packed, never text. Rows are dealt at random over groups
 of a bounded number of pieces, each packed by itself, longest piece first. What is left over, the
 open sequences with their gaps, counts as pieces of the next pass, with fewer groups, until one
-group is left; so the rows of a pass shrink by a large factor each time and no task ever holds
-more than ``GROUP_ROWS`` pieces on average.
+group is left or a pass closes less than half of what it was given: what is left then are gaps that
+no open sequence fits. No task ever holds more than ``GROUP_ROWS`` pieces on average. The loss
+against one group is a few sequences for each group, a share that does not grow with the input
+(a test measures it with 20 and 200 groups).
 
 Defined results: a null text is empty and still one piece, of its end token; rows that repeat an
 id are packed as documents of their own; an empty table gives an empty result.
@@ -98,7 +100,7 @@ def pack_pieces(pieces: DataFrame, size: int = 2048) -> DataFrame:
     while True:
         n = current.count()
         groups = max(1, -(-n // GROUP_ROWS))
-        # Where a pass leaves most of its units open, no other grouping closes them either.
+        # Where a pass leaves most of its units open, their gaps are too small for any of them, in whatever groups.
         last = groups == 1 or (before is not None and n > before // 2) or level == 7
         dealt = current.withColumn("group", F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(groups)))
         out = written(dealt.groupBy("group").applyInArrow(_packed(size), "unit long, group long, bin long, offset long, level long"), "packed")
@@ -124,14 +126,17 @@ SMALLEST = 8
 _TOKENIZER: dict[str, object] = {}
 
 
-def _encoder(tokenizer: str, ranks: str | None):
-    """ids of one text, without special tokens, by the vocabulary file of the ``tokenizers`` library.
+def _encoder(tokenizer: str, ranks: str | None, specials_as_text: bool = False):
+    """ids of one text by the vocabulary file of the ``tokenizers`` library; none are added.
+
+    The string of a special token inside a text becomes that token, as the library has it, unless
+    ``specials_as_text``.
 
     Where the file of the same vocabulary in rank form is given too, texts whose code points all
     lie below U+0370 are encoded by it, which is several times faster; both libraries class these
-    code points alike.
+    code points alike. Texts that hold a special token's string go to the library itself.
     """
-    key = f"{tokenizer}|{ranks}"
+    key = f"{tokenizer}|{ranks}|{specials_as_text}"
     if key not in _TOKENIZER:
         import os
 
@@ -139,7 +144,8 @@ def _encoder(tokenizer: str, ranks: str | None):
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(tokenizer)
-        slow.encode_special_tokens = True
+        slow.encode_special_tokens = specials_as_text
+        specials = [] if specials_as_text else [t.content for t in slow.get_added_tokens_decoder().values()]
         fast = None
         if ranks:
             import base64
@@ -156,7 +162,7 @@ def _encoder(tokenizer: str, ranks: str | None):
         beyond = re.compile("[^\x00-ͯ]")
 
         def encode(text: str):
-            if fast is not None and (text.isascii() or not beyond.search(text)):
+            if fast is not None and (text.isascii() or not beyond.search(text)) and not any(x in text for x in specials):
                 return fast.encode_ordinary(text)
             return slow.encode(text, add_special_tokens=False).ids
 
