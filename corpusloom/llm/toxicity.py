@@ -12,7 +12,8 @@ by all but one byte of the longest n-gram at least, so no n-gram of the run is l
 
 Training is by gradient descent in numpy, in one task, on a bounded sample: at most
 ``POSITIVES`` and ``NEGATIVES`` labelled documents, taken by a hash of their ids. The first pass
-takes every window with its document's label; later passes take the window that scores highest
+takes every window with its document's label, those of a document of more than ``FIRST_PASS`` windows with
+so much less weight each that no document weighs more than ``FIRST_PASS`` windows; later passes take the window that scores highest
 so far (and a random one of clean documents). A pass takes ``STEPS`` steps at least, going over a
 small sample several times. Everything is seeded: equal samples give equal weights.
 
@@ -35,8 +36,9 @@ from .common import id_remainder, text_rows
 
 WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 16, 8, 12, 8
 WORD_ROWS, CHAR_ROWS, NGRAMS = 1 << 14, 1 << 16, (3, 4, 5)
-POSITIVES, NEGATIVES, PASSES, BATCH, STEPS = 2_000, 3_000, 5, 128, 100
-KNOWN_WORDS, BLOCK, PIECE = 200_000, 2_048, 120
+POSITIVES, NEGATIVES, PASSES, BATCH, STEPS, FIRST_PASS = 2_000, 3_000, 5, 128, 100, 8
+KNOWN_WORDS, BLOCK, PIECE, FIRST_STEPS, BYTES = 200_000, 2_048, 120, 320, 2 << 20
+RUN_WORDS = 1 << 17  # a multiple of STRIDE, so that runs have the windows of the whole
 _WORD = re.compile(r"\w+").findall
 
 
@@ -262,25 +264,23 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> N
         net.table[touched] -= 10 * rate * g / np.sqrt(squares[touched])[:, None]
 
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
+    share = np.minimum(1.0, FIRST_PASS / np.bincount(owner, minlength=len(texts)))
     for turn in range(PASSES):
         if turn == 0:
-            # All windows of each document, at most eight of them at random, with its label.
-            order = rng.permutation(len(windows))
-            rank = np.zeros(len(windows), np.int64)
-            by_doc = order[np.argsort(owner[order], kind="stable")]
-            rank[by_doc] = np.arange(len(by_doc)) - np.searchsorted(owner[by_doc], owner[by_doc])
-            chosen = order[rank[order] < 8]
+            chosen = rng.permutation(len(windows))
         else:
             score = scores()
             best = np.lexsort((-score, owner))
             top = best[np.concatenate([[True], owner[best][1:] != owner[best][:-1]])]
             spare = rng.permutation(len(windows))[: len(top)]
             chosen = rng.permutation(np.concatenate([top, spare[y[owner[spare]] == 0]]))
+        weight = (balance * share if turn == 0 else balance).astype(np.float32)
+        size = max(BATCH, len(chosen) // FIRST_STEPS) if turn == 0 else BATCH
         times = max(1, -(-STEPS * BATCH // len(chosen)))
         chosen = np.concatenate([rng.permutation(chosen) for _ in range(times)]) if times > 1 else chosen
-        for at in range(0, len(chosen), BATCH):
-            part = chosen[at : at + BATCH]
-            step(part, y[owner[part]], balance[owner[part]].astype(np.float32), 0.01 if turn < PASSES - 1 else 0.003)
+        for at in range(0, len(chosen), size):
+            part = chosen[at : at + size]
+            step(part, y[owner[part]], weight[owner[part]], 0.01 if turn < PASSES - 1 else 0.003)
     score = np.full(len(texts), -np.inf, np.float64)
     np.maximum.at(score, owner, scores())
     net.scale = _platt(score, y, prior)
@@ -318,18 +318,28 @@ class Scorer:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """The score of each text, between 0 and 1."""
+        a, b = self.net.scale
+        return 1 / (1 + np.exp(-np.clip(a * self.highest(texts) + b, -30, 30)))
+
+    def highest(self, texts: list[str]) -> np.ndarray:
+        """The highest logit of each text's windows; the windows of a very long text are read in runs."""
+        words = [words_of(t) for t in texts]
+        if max(map(len, words), default=0) <= RUN_WORDS:
+            return self._highest(words)
+        return np.array([max(float(self._highest([own[at : at + RUN_WORDS + WINDOW - STRIDE]])[0]) for at in range(0, max(1, len(own) - WINDOW + STRIDE), RUN_WORDS)) for own in words])
+
+    def _highest(self, texts: list[list[str]]) -> np.ndarray:
         if len(self.number) > KNOWN_WORDS:
             self.__init__(self.net)
         before, number = len(self.number), self.number
-        windows, owner = _windowed([[number.setdefault(w, len(number)) for w in words_of(t)] for t in texts])
+        windows, owner = _windowed([[number.setdefault(w, len(number)) for w in own] for own in texts])
         fresh = list(number)[before:] if before else list(number)
         if fresh:
             more = self.net.projected(self.net.vectors(fresh))
             self.x = {d: np.concatenate([self.x[d], more[d]]) for d in "fb"}
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, owner, _scores(self.net, self.x, windows))
-        a, b = self.net.scale
-        return 1 / (1 + np.exp(-np.clip(a * best + b, -30, 30)))
+        return best
 
 
 def _sample(docs: DataFrame, labels: DataFrame, divisor: int, held_out: int) -> tuple[DataFrame, float | None]:
@@ -367,11 +377,11 @@ def _scored(weights, more: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
             score: list[float] = []
             part: list[str] = []
             size = 0
-            for text in [*texts, None]:  # about 2 MB of text at a time
+            for text in [*texts, None]:  # about ``BYTES`` of text at a time
                 if text is not None:
                     part.append(text)
                     size += len(text)
-                if part and (text is None or size > 2 << 20):
+                if part and (text is None or size > BYTES):
                     score += scorer(part).tolist() if scorer else [0.0] * len(part)
                     part, size = [], 0
             yield pa.RecordBatch.from_arrays([*batch.columns[:more], pa.array(score, pa.float64())], names=[*batch.schema.names[:more], "score"])
