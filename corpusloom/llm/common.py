@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space of the contracts: the space and the five ASCII controls from tab to carriage return.
@@ -64,3 +64,19 @@ def removed(table: DataFrame) -> None:
 def shuffle_partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the session is set to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def one_of_each(docs: DataFrame, keys: dict[str, Column], stays: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose ``keys`` are among ``stays`` (the same names, no nulls), one for each.
+
+    Whole rows are shuffled once, by all keys; of rows with equal keys any one stays.
+    """
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[v.alias(k) for k, v in keys.items()])
+    kept = packed.join(stays.select(*keys).hint("merge"), list(keys), "left_semi")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))
+    return kept.withColumn("first", first).where("first = 1").select("row.*")
+
+
+def id_keys(doc_id: Column) -> dict[str, Column]:
+    """A doc_id that may be null as two keys that may not."""
+    return {"key_id": F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")), "key_null": doc_id.isNull()}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, shuffle_partitions, text_rows, written
+from .common import ASCII_SPACE, id_keys, one_of_each, shuffle_partitions, text_rows, written
 
 SLOTS, MOVES, SALTS, SHARD_ROWS = 4, 200, 16, 1_000_000
 
@@ -181,17 +181,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group of equal texts."""
-    columns = docs.columns
-    packed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"), digest(F.coalesce(docs[text_col], F.lit(""))).alias("digest"))
-    rows = written(packed.select("doc_id", "digest"), "digests")
-    found = written(groups(rows, rows.count()), "groups").select("digest", "keep_id", "group_size")
-    kept = packed.join(found.hint("merge"), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    # Ids may repeat, and then so may the row that stays; only such groups are looked at again.
-    again = rows.join(found.where("group_size > 1"), "digest").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").count().where("count > 1").select("digest", F.lit(True).alias("again"))
-    kept = kept.join(again, "digest", "left")
-    once = kept.where("again is null").select("row.*")
-    first = kept.where("again").groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
-    return once.unionByName(first)
+    rows = written(digested(docs, id_col, text_col), "digests")
+    found = groups(rows, rows.count())
+    stays = found.select("digest", *[v.alias(k) for k, v in id_keys(F.col("keep_id")).items()])
+    return one_of_each(docs, {"digest": digest(F.coalesce(docs[text_col], F.lit(""))), **id_keys(docs[id_col])}, stays)
 
 
 def build_index(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
