@@ -6,6 +6,7 @@ balanced weights, whose sum is n. Weights are not standardised.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +38,7 @@ class ChapterModel:
     scaling: list[float]
     classifier: LogisticRegressionModel
     labels: list[str]
+    c: float = 1.0
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
         return _vectors(self.vocabulary, self.scaling, features.prepared(rows))
@@ -65,16 +67,20 @@ class ChapterModel:
         return int(self.classifier.coefficientMatrix.numRows * self.classifier.coefficientMatrix.numCols + self.classifier.interceptVector.size)
 
     def save(self, path: str) -> None:
-        """Write both halves and the labels under one folder."""
+        """Write all parts into a new folder under ``path``, then name it in ``path/current``: a reader sees one whole model, old or new."""
         spark = SparkSession.getActiveSession()
-        self.vocabulary.write().overwrite().save(f"{path}/vocabulary")
-        self.classifier.write().overwrite().save(f"{path}/classifier")
-        spark.createDataFrame([(self.scaling, self.labels)], "scaling array<double>, labels array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/scaling")
+        name = uuid.uuid4().hex
+        self.vocabulary.write().save(f"{path}/{name}/vocabulary")
+        self.classifier.write().save(f"{path}/{name}/classifier")
+        spark.createDataFrame([(self.scaling, self.labels, float(self.c))], "scaling array<double>, labels array<string>, c double").coalesce(1).write.parquet(f"{path}/{name}/scaling")
+        spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
 
     @classmethod
     def load(cls, path: str) -> ChapterModel:
-        row = SparkSession.getActiveSession().read.parquet(f"{path}/scaling").first()
-        return cls(CountVectorizerModel.load(f"{path}/vocabulary"), list(row.scaling), LogisticRegressionModel.load(f"{path}/classifier"), list(row.labels))
+        spark = SparkSession.getActiveSession()
+        path = f"{path}/{spark.read.schema('name string').json(f'{path}/current').first().name}"
+        row = spark.read.parquet(f"{path}/scaling").first()
+        return cls(CountVectorizerModel.load(f"{path}/vocabulary"), list(row.scaling), LogisticRegressionModel.load(f"{path}/classifier"), list(row.labels), row.c)
 
 
 def _vectors(vocabulary: CountVectorizerModel, scaling: list[float], prepared: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def fit(train: DataFrame, c: float = 1.0, max_features: int = features.MAX_FEATU
     vectors = _vectors(vocabulary, scaling, weighed)
     n = rows.count()
     regression = LogisticRegression(family="multinomial", featuresCol="features", labelCol="label", weightCol="weight", standardization=False, maxIter=ITERATIONS, tol=1e-8, regParam=1.0 / (c * n))
-    model = ChapterModel(vocabulary, scaling, regression.fit(vectors), labels)
+    model = ChapterModel(vocabulary, scaling, regression.fit(vectors), labels, c)
     rows.unpersist()
     return model
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import platform
 import time
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as tx
 from ..operators import groups, ledger, metrics, service
 from ..operators import split as splitting
@@ -21,12 +23,46 @@ class RefitError(RuntimeError):
     """A refit that does not give the ledger's predictions."""
 
 
+def hardware(spark: SparkSession) -> str:
+    """What a run was timed on."""
+    return f"Spark {spark.version} on {spark.sparkContext.defaultParallelism} cores, {platform.machine()}, {spark.sparkContext.master}"
+
+
 def parts(split: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """train, val, test with normalised texts."""
     rows = split.withColumn("text", tx.normalise_question("text"))
     return tuple(rows.where(F.col("split") == s) for s in groups.SPLITS)
 
 
+def read_split(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """ord, text, chapter, split of the named parts of a written split; only their folders are read."""
+    rows = spark.read.option("basePath", path).schema(f"{schemas.CORPUS}, ord long, split string").json([f"{path}/split={n}" for n in names or groups.SPLITS])
+    return rows.select("ord", tx.normalise_question("text").alias("text"), "chapter", "split")
+
+
+def pool_rows(split: DataFrame) -> int:
+    """Rows of train and validation together."""
+    return split.where("split <> 'test'").count()
+
+
+def compare_runs(records: list[dict], y_true: list[str], spark: SparkSession) -> DataFrame:
+    """approach, runs, mean, best, worst, gap of accuracy, and mean macro-F1, of ledger records over one test split."""
+    rows = [(r["approach"], r["seed"], i, t, p) for r in records for i, (t, p) in enumerate(zip(y_true, r["predicted"], strict=True))]
+    each = spark.createDataFrame(rows, "approach string, seed int, ord int, y_true string, predicted string")
+    runs_ = each.groupBy("approach", "seed").agg(F.avg((F.col("y_true") == F.col("predicted")).cast("double")).alias("accuracy"))
+    f1 = [(r["approach"], r["seed"], float(metrics.macro_f1(each.where((F.col("approach") == r["approach"]) & (F.col("seed") == r["seed"]))).first().macro_f1)) for r in records]
+    joined = runs_.join(spark.createDataFrame(f1, "approach string, seed int, macro_f1 double"), ["approach", "seed"])
+    return joined.groupBy("approach").agg(F.count("*").alias("runs"), F.avg("accuracy").alias("mean"), F.max("accuracy").alias("best"), F.min("accuracy").alias("worst"), (F.max("accuracy") - F.min("accuracy")).alias("gap"), F.avg("macro_f1").alias("macro_f1"))
+
+
+def fit_train_only(split: DataFrame, candidates: tuple[float, ...] = model.CANDIDATES) -> tuple[model.ChapterModel, DataFrame]:
+    """The model of train alone, with the C that validation prefers, and its predictions of validation rows."""
+    train, val, _ = parts(split)
+    c, _ = model.choose(train, val, candidates)
+    fitted = model.fit(train, c)
+    return fitted, predictions(fitted, val)
+
+
 def predictions(fitted: model.ChapterModel, rows: DataFrame) -> DataFrame:
     """ord, y_true, predicted, confidence."""
     return fitted.transform(rows).select("ord", F.col("chapter").alias("y_true"), "predicted", "confidence")
@@ -50,7 +86,7 @@ def run_tfidf(split: DataFrame, seed: int = 42, fraction: float = 1.0, candidate
     found = predictions(fitted, test).orderBy("ord").select("predicted").collect()  # the sealed test split of one corpus
     return {
         "approach": "tfidf", "seed": seed, "predicted": [r.predicted for r in found], "test_hash": whole, "test_rows": len(found), "train_seconds": seconds,
-        "parameters": fitted.parameters(), "hardware": "spark", "recorded": datetime.now(UTC).isoformat(), "method": f"tfidf, logistic regression, C={c}",
+        "parameters": fitted.parameters(), "hardware": hardware(split.sparkSession), "recorded": datetime.now(UTC).isoformat(), "method": f"tfidf, logistic regression, C={c}",
         "features": len(fitted.vocabulary.vocabulary), "conditions": {"class_weights": True, "max_tokens": 512}, "fraction": fraction, "train_rows": pool.where("split <> 'test'").count(),
     }
 
@@ -84,8 +120,8 @@ def abstention(split: DataFrame, recorded: list[str] | None = None, candidates:
     If ``recorded`` predictions are given, the refit must give the same.
     """
     train, val, test = parts(split)
-    c, _ = model.choose(train, val, candidates)
-    seen = predictions(model.fit(train, c), val).cache()
+    fitted, seen = fit_train_only(split, candidates)
+    c, seen = fitted.c, seen.cache()
     points = metrics.sweep(seen)
     cutoff = metrics.select_cutoff(points).first().cutoff
     bins = metrics.reliability(seen)

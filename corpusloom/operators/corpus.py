@@ -124,3 +124,39 @@ def take_until(pages: DataFrame, by: str, page: str, stop: Column) -> DataFrame:
 def bag_counts(rows: DataFrame, bag: str) -> DataFrame:
     """How often each token stands in an array column."""
     return rows.select(F.explode(bag).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+#: Marks of solutions, which no question row may hold.
+SOLUTION_MARKS = ("\\Sol", "\\solend")
+
+
+def row_faults(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """id, fault of every row that an extractor must not give out: no id, a repeated id, an unknown label, no text, solution marks."""
+    named = labels.select(F.col("slug").alias("_slug"))
+    judged = rows.join(named, rows.chapter == F.col("_slug"), "left")
+    raw = F.coalesce(F.col("raw_text") if "raw_text" in rows.columns else F.col("text"), F.lit(""))
+    marked = F.lit(False)
+    for mark in SOLUTION_MARKS:
+        marked = marked | raw.contains(mark)
+    faults = F.array_compact(F.array(
+        F.when(F.coalesce("id", F.lit("")) == "", "no id"),
+        F.when(F.coalesce("chapter", F.lit("")).isin("") | F.col("_slug").isNotNull(), None).otherwise("unknown label"),
+        F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "no text"),
+        F.when(marked, "solution marks"),
+    ))
+    single = judged.select("id", F.explode(faults).alias("fault"))
+    repeated = bad_ids(rows).where("n > 1 and id <> ''").select("id", F.lit("repeated id").alias("fault"))
+    return single.unionByName(repeated)
+
+
+def require_sound(rows: DataFrame, labels: DataFrame) -> None:
+    """Raise if any row has a fault."""
+    found = [f"{r.id}: {r.fault}" for r in row_faults(rows, labels).orderBy("id", "fault").limit(5).collect()]
+    if found:
+        raise CorpusError(f"rows that must not be written: {found}")
+
+
+def rows_by_source(rows: DataFrame) -> DataFrame:
+    """source, rows, labels, unlabelled of an extraction."""
+    has = F.coalesce("chapter", F.lit("")) != ""
+    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.count_distinct(F.when(has, F.col("chapter"))).alias("labels"), F.count_if(~has).alias("unlabelled"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -57,9 +57,8 @@ def straddling(keyed: DataFrame) -> DataFrame:
 
 def split_summary(keyed: DataFrame) -> DataFrame:
     """Rows and groups by split, by label and split, and altogether (nulls stand for all)."""
-    keyed.createOrReplaceTempView("_summarised")
     return keyed.sparkSession.sql(
-        "select chapter, split, count(*) as n, count(distinct key) as groups, count_if(key.kind = 'row') as ungroupable from _summarised group by grouping sets ((split), (chapter, split), ())"
+        "select chapter, split, count(*) as n, count(distinct key) as groups, count_if(key.kind = 'row') as ungroupable from {rows} group by grouping sets ((split), (chapter, split), ())", rows=keyed
     )
 
 
@@ -95,17 +94,40 @@ def class_weights(rows: DataFrame) -> DataFrame:
     return per.withColumn("weight", F.sum("n").over(everything) / (F.count("*").over(everything) * F.col("n")))
 
 
+def key_name(key: str = "key") -> Column:
+    """A leakage group as text, the same for equal groups."""
+    return F.concat_ws("|", f"{key}.kind", F.coalesce(f"{key}.school", F.lit("")), F.coalesce(F.col(f"{key}.year").cast("string"), F.lit("")), F.coalesce(f"{key}.paper", F.lit("")), F.coalesce(f"{key}.ref", F.lit("")))
+
+
+BUCKETS = 1 << 12
+
+
+def sums_before(rows: DataFrame, by: str, digest: str, *ties: str, weight: str) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``weight`` over the rows of the same ``by`` whose hex ``digest`` (then ``ties``) comes earlier.
+
+    Rows are sorted only within ``BUCKETS`` ranges of the digest, and a table of one sum for each ``by`` and range
+    gives what comes before a range, so that no ``by`` has to be sorted in one task.
+    """
+    placed = rows.withColumn("_bucket", F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"))
+    within = Window.partitionBy(by, "_bucket").orderBy(digest, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(by, "_bucket").agg(F.sum(weight).alias("_sum"))
+    earlier = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_earlier"))
+    own = placed.withColumn("_own", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    return own.join(ranges, own[by].eqNullSafe(ranges["_by"]) & (own["_bucket"] == ranges["_b"])).withColumn("before", F.col("_own") + F.col("_earlier")).drop("_own", "_earlier", "_bucket", "_by", "_b")
+
+
 def subsample(keyed: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """Whole groups of every split, in a seeded hash order, until the fraction is met; test stays whole.
 
-    The last group taken may pass the target. Groups are ordered within their split; only groups, not rows, are sorted.
+    The last group taken may pass the target.
     """
     if not 0 < fraction <= 1:
         raise ValueError(f"fraction must be in (0, 1], got {fraction}")
-    name = F.concat_ws("|", "key.kind", F.coalesce("key.school", F.lit("")), F.coalesce(F.col("key.year").cast("string"), F.lit("")), F.coalesce("key.paper", F.lit("")), F.coalesce("key.ref", F.lit("")))
-    sizes = keyed.groupBy("split", "key").agg(F.count("*").alias("n")).withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("split"), F.lit(":"), name)))
-    ordered = Window.partitionBy("split").orderBy("_h", name)
-    before = F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    target = F.greatest(F.lit(1), F.bround(F.lit(fraction) * F.sum("n").over(Window.partitionBy("split"))))
-    kept = sizes.withColumn("_taken", (F.col("split") == "test") | (before < target)).where("_taken").select(F.col("split").alias("_split"), F.col("key").alias("_key"))
+    sizes = keyed.groupBy("split", "key").agg(F.count("*").alias("n")).withColumn("_name", key_name())
+    sizes = sizes.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("split"), F.lit(":"), F.col("_name"))))
+    totals = keyed.groupBy(F.col("split").alias("_s")).agg(F.greatest(F.lit(1), F.bround(F.lit(fraction) * F.count("*"))).alias("target"))
+    sizes = sums_before(sizes, "split", "_h", "_name", weight="n")
+    sizes = sizes.join(F.broadcast(totals), sizes.split.eqNullSafe(totals["_s"]))  # one row for each split
+    kept = sizes.withColumn("_taken", (F.col("split") == "test") | (F.col("before") < F.col("target"))).where("_taken").select(F.col("split").alias("_split"), F.col("key").alias("_key"))
     return keyed.join(kept, keyed.split.eqNullSafe(kept["_split"]) & keyed.key.eqNullSafe(kept["_key"]), "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -43,6 +43,55 @@ def missing(wanted: DataFrame, runs: DataFrame, *key: str) -> DataFrame:
     return wanted.join(runs.select(*key), list(key), "left_anti")
 
 
+def rows_trained_on(pool_rows: Column | int) -> Column:
+    """How many rows a run was trained on; a record without the number had the whole pool."""
+    return F.coalesce(F.col("train_rows"), pool_rows if isinstance(pool_rows, Column) else F.lit(pool_rows))
+
+
+def default_run(runs: DataFrame, *by: str, seed: int = 42) -> DataFrame:
+    """Of each ``by``: the run of the default seed, else that of the lowest."""
+    order = F.struct(F.col("seed") != seed, F.col("seed"))
+    own = F.struct(*[c for c in runs.columns if c not in by])
+    return runs.groupBy(*by).agg(F.min_by(own, order).alias("run")).select(*by, "run.*")
+
+
+def answers(runs: DataFrame, truth: DataFrame) -> DataFrame:
+    """approach, fraction, seed, ord, y_true, predicted of every recorded prediction: ``runs`` has ``predicted`` arrays, by place as ``truth`` (ord from 0, y_true)."""
+    each = runs.select("approach", "fraction", "seed", F.posexplode("predicted").alias("ord", "predicted"))
+    return each.join(truth.select(F.col("ord").cast("int").alias("ord"), "y_true"), "ord").select("approach", "fraction", "seed", "ord", "y_true", "predicted")
+
+
+def paired(first: DataFrame, second: DataFrame, *by: str) -> DataFrame:
+    """Of each ``by``: how two sets of predictions (by, ord, y_true, predicted) over the same rows agree, their difference with its interval, and the exact p.
+
+    Groups that one side lacks are left out, and so are its predictions of other rows.
+    """
+    other = second.select(*by, "ord", F.col("predicted").alias("_b"))
+    a, b = F.col("predicted") == F.col("y_true"), F.col("_b") == F.col("y_true")
+    a, b = F.coalesce(a, F.lit(False)), F.coalesce(b, F.lit(False))
+    counted = first.join(other, [*by, "ord"]).groupBy(*by).agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"), F.count("*").alias("n"))
+    low, high = stats.paired_difference_interval(F.col("only_b"), F.col("only_a"), F.col("n"))
+    return stats.mcnemar(counted.withColumns({"difference": (F.col("only_b") - F.col("only_a")) / F.col("n"), "low": low, "high": high}))
+
+
+def last_step(predictions: DataFrame) -> DataFrame:
+    """The last two fractions of each approach, paired seed by seed: :func:`paired` by approach and seed, with ``earlier`` and ``later``.
+
+    Only seeds that both fractions have are compared; an approach of one fraction has no row.
+    """
+    points = predictions.select("approach", "fraction").distinct()
+    ranked = points.withColumn("_r", F.row_number().over(Window.partitionBy("approach").orderBy(F.col("fraction").desc()))).where("_r <= 2")
+    ends = ranked.groupBy("approach").agg(F.max(F.when(F.col("_r") == 2, F.col("fraction"))).alias("earlier"), F.max(F.when(F.col("_r") == 1, F.col("fraction"))).alias("later")).where("earlier is not null")
+    own = predictions.join(ends, "approach")
+    side = lambda which: own.where(F.col("fraction") == F.col(which))
+    return paired(side("earlier"), side("later"), "approach", "seed").join(ends, "approach")
+
+
+def seed_coverage(runs: DataFrame) -> DataFrame:
+    """approach, fraction, seeds of every point of a curve."""
+    return runs.groupBy("approach", "fraction").agg(F.array_sort(F.collect_set("seed")).alias("seeds"))
+
+
 def verdict(pairs: list[tuple[float, float]]) -> str:
     """What (difference, p) of each seed say of two approaches.
 
@@ -72,3 +121,18 @@ def shape(means: list[float], seeds: list[set[int]], pairs: list[tuple[float, fl
     if len(rises) == len(pairs) and len(set(rises)) == 1:
         return "climbing" if rises[0] else "falling"
     return "mixed"
+
+
+def curves_differ(one: dict, two: dict) -> str:
+    """How two curves (name, means and seeds by fraction, in order) compare over the range that was measured.
+
+    ``incomplete`` unless every point of both has the same seeds; ``alike`` if the gains differ by less than the
+    flat step; else the name of the curve that gains more.
+    """
+    seeds = [frozenset(s) for curve in (one, two) for s in curve["seeds"]]
+    if not one["means"] or not two["means"] or len(set(seeds)) != 1:
+        return "incomplete"
+    gain = [curve["means"][-1] - curve["means"][0] for curve in (one, two)]
+    if abs(gain[1] - gain[0]) < FLAT:
+        return "alike"
+    return two["name"] if gain[1] > gain[0] else one["name"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: The thresholds of a sweep are steps of 0.05; the accuracy that a cutoff must reach; calibration bins.
 STEPS, TARGET, BINS = 20, 0.95, 10
+RANGES = 256
 
 
 def accuracy(predictions: DataFrame) -> DataFrame:
@@ -21,6 +22,13 @@ def confusions(predictions: DataFrame) -> DataFrame:
     return wrong.groupBy("y_true", "predicted").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
+def worst_confusions(predictions: DataFrame, k: int = 8, least: int = 1) -> DataFrame:
+    """The ``k`` most frequent confusions of at least ``least`` rows, worst first; and how many pairs occur once."""
+    found = confusions(predictions)
+    top = found.where(F.col("n") >= least).orderBy(F.col("n").desc(), "first_ord").limit(k)
+    return top.join(F.broadcast(found.agg(F.count_if(F.col("n") == 1).alias("singles"))))
+
+
 def confusion_matrix(predictions: DataFrame, labels: DataFrame) -> DataFrame:
     """y_true, predicted, n of every pair of labels."""
     pairs = labels.select(F.col("slug").alias("y_true")).join(labels.select(F.col("slug").alias("predicted")))
@@ -119,14 +127,21 @@ def truth_score(truth: DataFrame, predicted: DataFrame) -> DataFrame:
 def percentiles(values: DataFrame, value: str, shares: list[int]) -> DataFrame:
     """share, value: nearest rank, its index rounded half to even.
 
-    Values are counted first, so the running count covers distinct values only.
+    Distinct values are counted, and ranked within ranges between approximate quantiles; one sum for each
+    range gives what lies below it, so that no task has to rank all of them.
     """
     counts = values.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
+    cuts = sorted(set(counts.agg(F.percentile_approx("value", [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []))
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("value"))) if cuts else F.lit(0)
+    placed = counts.withColumn("range", at)
+    below = placed.groupBy("range").agg(F.sum("n").alias("sum")).select(F.col("range").alias("r"), F.coalesce(F.sum("sum").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))  # RANGES rows at most
+    within = F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    upto = placed.withColumn("own", within).join(F.broadcast(below), F.col("range") == F.col("r")).select("value", "n", (F.col("own") + F.col("below")).alias("upto"))
     total = values.agg(F.count("*").alias("total"))
     wanted = total.select("total", F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"))
     place = F.greatest(F.least(F.bround(F.col("share") / 100.0 * F.col("total")), F.col("total")) - 1, F.lit(0))
-    return wanted.withColumn("at", place).join(upto, F.col("upto") > F.col("at")).groupBy("share").agg(F.min("value").alias("value"))
+    asked = F.broadcast(wanted.withColumn("at", place))  # one row for each share
+    return upto.join(asked, (F.col("upto") > F.col("at")) & (F.col("upto") - F.col("n") <= F.col("at"))).select("share", "value")
 
 
 def truncation_cost(values: DataFrame, value: str, limits: list[int]) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import tables
+
 # Fixed values of the page geometry.
 FOOTER, SMALLEST_BODY, CUT_BAND, TOP_OF_PAGE, PAGE_HEIGHT = 0.92, 6.5, 6.0, 0.12, 842.0
 TEXT_TOP, TEXT_TOLERANCE, OCR_TOP, OCR_TOLERANCE = 50.0, 2.0, 0.06, 8.0
@@ -92,26 +94,26 @@ def cut_points(markers: DataFrame, body: DataFrame) -> DataFrame:
 
 
 def owners(body: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``body`` with the marker (pos, marker_ord, marker_page, marker_y) that owns each line: the last whose cut is not below it.
+    """``body`` with the marker (pos, marker_ord, marker_page, marker_y) that owns each line: the last whose cut is not below it; and the last stop line not below it.
 
-    Lines and cuts of a paper are sorted together; the greatest position so far is the owner.
+    Lines and cuts of a paper are sorted together, once; the greatest position so far is the owner.
     """
     none = lambda t: F.lit(None).cast(t)
     line = body.select("paper_id", F.col("page").alias("_p"), F.col("y0").cast("double").alias("_y"), F.lit(1).alias("_k"), none("int").alias("_pos"), none("struct<ord:bigint,page:int,y0:double>").alias("_m"), F.struct(*body.columns).alias("_line"))
     cut = cuts.select("paper_id", F.col("page").alias("_p"), F.col("cut_y").alias("_y"), F.lit(0).alias("_k"), F.col("pos").cast("int").alias("_pos"), F.struct(F.col("ord").cast("bigint").alias("ord"), F.col("page").cast("int").alias("page"), F.col("y0").cast("double").alias("y0")).alias("_m"), none(line.schema["_line"].dataType.simpleString()).alias("_line"))
     order = Window.partitionBy("paper_id").orderBy("_p", "_y", "_k").rowsBetween(Window.unboundedPreceding, 0)
     both = line.unionByName(cut).withColumn("_owner", F.max(F.struct(F.col("_pos").alias("pos"), F.col("_m").alias("m"))).over(order))
-    return both.where("_line is not null and _owner.pos is not null").select("_line.*", F.col("_owner.pos").alias("pos"), F.col("_owner.m.ord").alias("marker_ord"), F.col("_owner.m.page").alias("marker_page"), F.col("_owner.m.y0").alias("marker_y"))
+    # Of the stops not below a line, the greatest decides: it lies after the marker if any does. Equal places count.
+    stop = F.when(F.col("_line.body").rlike(STOP_LINE), F.struct(F.col("_p").alias("p"), F.col("_y").alias("y")))
+    both = both.withColumn("_stop", F.max(stop).over(Window.partitionBy("paper_id").orderBy("_p", "_y")))
+    return both.where("_line is not null and _owner.pos is not null").select("_line.*", F.col("_owner.pos").alias("pos"), F.col("_owner.m.ord").alias("marker_ord"), F.col("_owner.m.page").alias("marker_page"), F.col("_owner.m.y0").alias("marker_y"), F.col("_stop").alias("last_stop"))
 
 
-def before_stops(owned: DataFrame, body: DataFrame) -> DataFrame:
+def before_stops(owned: DataFrame) -> DataFrame:
     """Without stop lines, marker lines, and lines past a stop line that follows their marker."""
-    # Of the stops not below a line, the greatest decides: it lies after the marker if any does. Equal places count.
-    stop = F.when(F.col("body").rlike(STOP_LINE), F.struct(F.col("page").alias("p"), F.col("y0").alias("y")))
-    last = body.withColumn("_stop", F.max(stop).over(Window.partitionBy("paper_id").orderBy("page", "y0")))
-    joined = owned.join(last.select("paper_id", "ord", "_stop"), ["paper_id", "ord"])
-    past = F.coalesce((F.col("_stop.p") > F.col("marker_page")) | ((F.col("_stop.p") == F.col("marker_page")) & (F.col("_stop.y") > F.col("marker_y"))), F.lit(False))
-    return joined.where(~past & (F.col("ord") != F.col("marker_ord")) & ~F.col("body").rlike(STOP_LINE)).drop("_stop")
+    stop, page, y = F.col("last_stop"), F.col("marker_page"), F.col("marker_y")
+    past = F.coalesce((stop["p"] > page) | ((stop["p"] == page) & (stop["y"] > y)), F.lit(False))
+    return owned.where(~past & (F.col("ord") != F.col("marker_ord")) & ~F.col("body").rlike(STOP_LINE)).drop("last_stop")
 
 
 def questions(markers: DataFrame, kept: DataFrame) -> DataFrame:
@@ -124,11 +126,11 @@ def questions(markers: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def segment(lines: DataFrame, page_counts: DataFrame, top_margin: Column | float = TEXT_TOP, tolerance: float = TEXT_TOLERANCE, skew: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The questions of every paper, and its column (paper_id, slope, intercept)."""
-    body = with_furniture(lines, page_counts, top_margin).where("not furniture").drop("furniture")
+    """The questions of every paper, and its column (paper_id, slope, intercept). The body lines are written once, as five steps read them."""
+    body = tables.written(with_furniture(lines, page_counts, top_margin).where("not furniture").select("paper_id", "ord", "page", "page_height", "x0", "y0", "body"), "body")
     columns = skewed_column(body, tolerance) if skew else question_column(body).select("paper_id", F.lit(0.0).alias("slope"), F.col("column").alias("intercept"))
     markers = find_markers(body, columns, tolerance)
-    kept = before_stops(owners(body, cut_points(markers, body)), body)
+    kept = before_stops(owners(body, cut_points(markers, body)))
     return questions(markers, kept), columns
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed value: the mean gap below which confidences are said to be calibrated.
 CALIBRATED = 0.05
@@ -84,3 +85,88 @@ def min_confidence(argv: list[str]) -> tuple[float, list[str]]:
     if math.isnan(value) or value < 0:
         raise ValueError(f"--min-confidence must be 0 or more, got {value}")
     return value, argv[:at] + argv[at + 2 :]
+
+
+# --- sections: each takes small frames or dictionaries and gives Markdown -------------------
+
+
+def interval_text(low: float, high: float) -> str:
+    return f"{pct(low)} to {pct(high)}"
+
+
+def headline_section(summaries: DataFrame) -> str:
+    """Accuracy of every approach: a row of :func:`ledger.summary` each."""
+    shown = table(summaries, {"approach": "Approach", "runs": "Runs", "mean": "Mean accuracy", "stdev": "Deviation", "wilson_low": "Interval from", "wilson_high": "to"}, "approach", {"mean": pct, "stdev": points, "wilson_low": pct, "wilson_high": pct})
+    return f"## Accuracy on the sealed test rows\n\n{shown}\n"
+
+
+def seeds_sentence(coverage: DataFrame) -> str:
+    """Which seeds each point was run with: rows of :func:`ledger.seed_coverage`."""
+    found = coverage.orderBy("approach", "fraction").collect()
+    return "; ".join(f"{r.approach} at {r.fraction:.0%}: seeds {seed_list(list(r.seeds))}" for r in found) + "."
+
+
+def paired_table(pairs: DataFrame, by: str = "seed") -> str:
+    """Rows of :func:`ledger.paired`: the four counts, the difference and the exact p."""
+    return table(pairs, {by: by.capitalize(), "both": "Both right", "only_a": "Only first", "only_b": "Only second", "neither": "Neither", "difference": "Difference", "p": "p"}, by, {"difference": lambda x: points(x, signed=True), "p": "{:.2f}".format})
+
+
+#: What a verdict of :func:`ledger.verdict` says.
+VERDICTS = {
+    "distinguishable": "The two approaches can be told apart: every paired test is significant, and the same side leads each time.",
+    "indistinguishable": "The two approaches cannot be told apart: no paired test is significant.",
+    "mixed": "The paired tests do not agree with each other.",
+}
+#: What a shape of :func:`ledger.shape` says.
+SHAPES = {
+    "incomplete": "The shape cannot be told yet: it needs two points with the same seeds.",
+    "flat": "The curve is flat: its whole gain is negligible.",
+    "flattened": "The curve has flattened: no test of its last step is significant.",
+    "climbing": "The curve still climbs: every test of its last step is significant, with more data ahead.",
+    "falling": "The curve falls at its last point: every test is significant, with less data ahead.",
+    "mixed": "The tests of the last step do not agree with each other.",
+}
+
+
+def comparison_section(first: str, second: str, pairs: DataFrame, verdict: str) -> str:
+    return f"## {first} against {second}\n\n{paired_table(pairs)}\n\n{VERDICTS[verdict]}\n"
+
+
+def resplit_section(found: list[tuple[int, int]]) -> str:
+    """(right, rows) of every fresh split."""
+    shares = [k / n for k, n in found]
+    mean = sum(shares) / len(shares)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in shares) / (len(shares) - 1)) if len(shares) > 1 else 0.0
+    return f"## Fresh splits\n\nOver {len(shares)} fresh splits the mean accuracy is {pct(mean)} ({interval_text(min(shares), max(shares))}), with a deviation of {points(deviation)}.\n"
+
+
+def curve_section(approach: str, points_: DataFrame, shape: str, pairs: DataFrame | None = None) -> str:
+    """A learning curve: rows (fraction, train_rows, mean, step), its shape, and the last step seed by seed."""
+    shown = table(points_, {"fraction": "Share", "train_rows": "Rows", "mean": "Mean accuracy", "step": "Step"}, "fraction", {"fraction": "{:.0%}".format, "train_rows": "{:.0f}".format, "mean": pct, "step": lambda x: points(x, signed=True)})
+    last = f"\n\n{paired_table(pairs)}" if pairs is not None else ""
+    return f"## {approach}\n\n{shown}{last}\n\n{SHAPES[shape]}\n"
+
+
+def curves_sentence(result: str) -> str:
+    """What :func:`ledger.curves_differ` found."""
+    if result == "incomplete":
+        return "The two curves cannot be compared: not all of their points have the same seeds."
+    return "Both curves gain alike." if result == "alike" else f"More data helps {result} more."
+
+
+def abstention_section(found: dict) -> str:
+    """The cutoff that validation chose, and what it does on the test rows: the result of :func:`runs.abstention`."""
+    row = found["test"]
+    declined = row["total"] - row["answered"]
+    trade = trade_sentence(found["cutoff"], declined, row["total"], found["base_accuracy"], row["selective_accuracy"], row["full_accuracy"])
+    return f"## Declining to answer\n\n{sweep_table(found['points'])}\n\n{reliability_table(found['bins'])}\n\n{trade} {calibration_sentence(found['mean_gap'], found['signed_gap'])}\n"
+
+
+def example_table(ranked: DataFrame) -> str:
+    """Questions with their best labels: rows (question, rank, chapter, probability)."""
+    best = ranked.groupBy("question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chapter", "probability"))), lambda x: F.format_string("%s (%.0f %%)", x["chapter"], x["probability"] * 100)), ", ").alias("best"))
+    return table(best, {"question": "Question", "best": "Best labels"}, "question")
+
+
+def report(title: str, *sections: str) -> str:
+    return "\n".join([f"# {title}\n", *sections])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as tx
 from ..operators import corpus, groups, ledger, metrics, reader
+from .. import tables
 from . import views
 from .views import with_views
 
@@ -415,7 +416,7 @@ def q41_skew_fit(spark, sf_dir):
 
 
 def marked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    body = body_lines(spark, sf_dir)
+    body = tables.written(body_lines(spark, sf_dir).select("paper_id", "ord", "page", "page_height", "x0", "y0", "body"), "body")
     return body, reader.find_markers(body, level_columns(body))
 
 
@@ -433,7 +434,7 @@ def q43_owner_asof(spark, sf_dir):
 @query(_READER + "select paper_id, ord, pos from kept", "raw_lines", "lines")
 def q44_past_stop(spark, sf_dir):
     body, markers = marked(spark, sf_dir)
-    return reader.before_stops(reader.owners(body, reader.cut_points(markers, body)), body).select("paper_id", "ord", "pos")
+    return reader.before_stops(reader.owners(body, reader.cut_points(markers, body))).select("paper_id", "ord", "pos")
 
 
 _QUESTIONS = _READER + """, parts as (select paper_id, pos, -1 as ord, page, rest as body from markers union all select paper_id, pos, ord, page, body from kept),
@@ -450,12 +451,13 @@ def q45_questions(spark, sf_dir):
 
 _RUNG = """
 chars as (select p.paper_id, p.page, coalesce(sum(length(text)), 0) as chars from (select distinct paper_id, page from lines) p left join lines l on l.paper_id = p.paper_id and l.page = p.page group by all),
-rung as (select paper_id, case when count(*) filter (where chars < 40) > 0.5 * count(*) then 2 else 1 end as rung from chars group by paper_id)
+rung as (select paper_id, case when count(*) filter (where chars < 40) > 0.5 * count(*) then 2 else 1 end as rung, coalesce(array_to_string(list_sort(list(page) filter (where chars < 40)), ','), '') as scanned from chars group by paper_id)
 """
 
 
 @query(_QUESTIONS + f""", {_RUNG.strip()}
 select r.paper_id, rung, count(number) as questions, coalesce(max(number), 0) as highest_number, count(number) filter (where len(pages) > 4) as oversized, count(number) filter (where trim(text) = '') as empty,
+  coalesce(array_to_string(list_filter(range(1, coalesce(max(number), 0) + 1), lambda n: not list_contains(list(number), n)), ','), '') as missing, count(number) - count(distinct number) as repeated,
   count(number) > 0 and count(number) filter (where len(pages) > 4 or trim(text) = '') = 0 as trustworthy
 from rung r left join qs using (paper_id) group by r.paper_id, rung
 """, "raw_lines", "lines")
@@ -463,13 +465,13 @@ def q46_reader_report(spark, sf_dir):
     lines = views.lines(spark, sf_dir)
     found, columns = reader.segment(lines, page_counts(lines))
     report = reader.reports(found, reader.rungs(reader.character_counts(lines, views.pages(spark, sf_dir))), columns)
-    return report.select("paper_id", "rung", F.col("questions").cast("long").alias("questions"), "highest_number", F.size("oversized_questions").cast("long").alias("oversized"), F.size("empty_questions").cast("long").alias("empty"), "trustworthy")
+    return report.select("paper_id", "rung", F.col("questions").cast("long").alias("questions"), "highest_number", F.size("oversized_questions").cast("long").alias("oversized"), F.size("empty_questions").cast("long").alias("empty"), F.array_join(F.col("missing_numbers").cast("array<string>"), ",").alias("missing"), F.size("duplicated_numbers").cast("long").alias("repeated"), "trustworthy")
 
 
-@query(f"with {_RUNG.strip()} select paper_id, rung from rung", "raw_lines", "lines")
+@query(f"with {_RUNG.strip()} select paper_id, rung, scanned from rung", "raw_lines", "lines")
 def q47_rung(spark, sf_dir):
     lines = views.lines(spark, sf_dir)
-    return reader.rungs(reader.character_counts(lines, views.pages(spark, sf_dir))).select("paper_id", "rung")
+    return reader.rungs(reader.character_counts(lines, views.pages(spark, sf_dir))).select("paper_id", "rung", F.array_join(F.col("scanned").cast("array<string>"), ",").alias("scanned"))
 
 
 _TRUTH = "select doc_id as paper_id, cast(n as int) as number, cast(n + doc_id % 2 as int) as start_page, [cast(n + doc_id % 2 as int)] as pages from documents cross join range(1, 4) r(n)"
@@ -559,6 +561,160 @@ def q55_take_prefix(spark, sf_dir):
     return corpus.take_until(turns, "conv_id", "turn", (F.col("role") == "assistant") & (F.char_length("text") > 1500)).select("conv_id", "turn")
 
 
+# --- pages, marked-up text, checks, runs ---------------------------------------------------------
+
+_PAGE_TEXT = "coalesce(text, '') || chr(10) || case doc_id % 4 when 0 then 'Answers' when 1 then 'Q1. ask' || chr(10) || 'Answers' when 2 then '[2013/Prelim/ABCJC/II/5]' || chr(10) || 'Level 2' else 'Level 3' end || chr(10) || repeat(chr(3), cast(doc_id % 6 as int))"
+_TAG_LINE = r"^\s*\[\s*((?:[A-Z]{1,6}(?:\(JC\))?/)?(?:(?:Prelim|Pelim|Promo)\s*)?(?:19|20)\d{2}[ /][^\[\]]{0,55})\]\s*$"
+
+
+@query(rf"""
+with p as (select doc_id, {_PAGE_TEXT} as t from documents)
+select doc_id, length(t) - length(replace(t, chr(3), '')) > 3 as solution,
+  not regexp_matches(t, '(?m)^\s*Q(\d+)\.(.*)$') and not regexp_matches(t, '(?m){_TAG_LINE}') and regexp_matches(t, '(?m)^\s*(Level\s*[123]|Answers?)\s*$') as answers from p
+""")
+def q59_page_predicates(spark, sf_dir):
+    text = F.expr(_PAGE_TEXT)
+    return documents(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", tx.is_solution_page(F.col("t")).alias("solution"), tx.is_answer_key_page(F.col("t")).alias("answers"))
+
+
+_LATEX = r"'% note ' || lang || chr(10) || '\mk{' || cast(doc_id % 5 as varchar(9)) || '} 5\% \mk{2} \hfill\textbf{[' || cast(doc_id % 7 as varchar(9)) || ']} x % tail' || chr(10) || '[2013/Prelim/ABCJC/II/' || cast(doc_id % 9 as varchar(9)) || ']'"
+
+
+@query(rf"""
+with t as (select doc_id, {_LATEX} as x from documents)
+select doc_id, regexp_replace(x, '(^|[^\\])%[^\n]*', '\1', 'g') as bare, list_sum(list_transform(regexp_extract_all(x, '\\mk\{{(\d+)\}}', 1), lambda n: cast(n as int)))::bigint as marks,
+  regexp_replace(x, '\\hfill\\textbf\{{\[\d+\]\}}', ' ', 'g') as uncounted, trim(regexp_extract(x, '(?m){_TAG_LINE}', 1)) as tag from t
+""")
+def q60_tex_scalars(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.expr(_LATEX.replace("\\", "\\\\")).alias("x"))
+    return rows.select("doc_id", tx.strip_comments(F.col("x")).alias("bare"), tx.marks(F.col("x")).cast("long").alias("marks"), tx.without_mark_counts(F.col("x")).alias("uncounted"), tx.first_provenance(F.col("x")).alias("tag"))
+
+
+_IDS = "case when ord % 11 = 0 then '' when ord % 13 = 0 then null when ord % 7 = 0 then 'twice-' || cast(ord % 5 as varchar(9)) else id end"
+
+
+@query(f"select id, count(*) as n from (select {_IDS} as id from corpus) group by id having count(*) > 1 or id is null or id = ''", "corpus")
+def q61_bad_ids(spark, sf_dir):
+    return corpus.bad_ids(views.corpus(spark, sf_dir).withColumn("id", F.expr(_IDS)))
+
+
+@query("select distinct chapter from corpus where chapter not in ('de', 'en', 'it')", "corpus")
+def q62_unknown_labels(spark, sf_dir):
+    return corpus.unknown_labels(views.corpus(spark, sf_dir), views.langs(spark).where("slug in ('de', 'en', 'it')"))
+
+
+@query("select count(*) filter (where c <> '') as labelled, count(*) filter (where c = '') as unlabelled from (select coalesce(case when ord % 4 = 0 then null when ord % 5 = 0 then '' else chapter end, '') as c from corpus)", "corpus")
+def q63_labelled(spark, sf_dir):
+    rows = views.corpus(spark, sf_dir).withColumn("chapter", F.expr("case when ord % 4 = 0 then null when ord % 5 = 0 then '' else chapter end"))
+    counts = [side.agg(F.count("*").alias(name)) for side, name in zip(corpus.labelled(rows), ("labelled", "unlabelled"), strict=True)]
+    return counts[0].join(counts[1])
+
+
+@query("""
+with n as (select class_id, slug, count(c.chapter) as n from langs left join corpus c on c.chapter = slug group by all)
+select (select id from corpus order by length(coalesce(text, '')), ord limit 1) as shortest, (select id from corpus order by length(coalesce(text, '')) desc, ord limit 1) as longest,
+  (select slug from n order by n.n, class_id limit 1) as thinnest, (select min(n.n) from n) as n
+""", "corpus", "langs")
+def q64_extremes(spark, sf_dir):
+    rows = views.corpus(spark, sf_dir)
+    return corpus.extremes(rows).join(corpus.thinnest(corpus.counts_with_zeros(rows, views.langs(spark))).withColumnRenamed("slug", "thinnest"))
+
+
+@query("select token, count(*) as n from (select unnest(string_split(source || ' ' || lang || ' ' || cast(doc_id % 5 as varchar), ' ')) as token from documents) group by token")
+def q65_bag_counts(spark, sf_dir):
+    return corpus.bag_counts(documents(spark, sf_dir).select(F.split(F.concat_ws(" ", "source", "lang", (F.col("doc_id") % 5).cast("string")), " ").alias("bag")), "bag")
+
+
+@query("""
+with s as (select approach, fraction, count(*) as runs, avg(correct / test_rows) as mean, coalesce(stddev_samp(correct / test_rows), 0.0) as stdev, avg(correct) as k, max(test_rows)::double as n from ledger group by all),
+w as (select *, k / n as p, 1.959964e0 * 1.959964e0 as zz from s), i as (select *, (p + zz / (2 * n)) / (1 + zz / n) as c, 1.959964e0 * sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n) as h from w)
+select approach, fraction, runs, round(mean, 9) as mean, round(stdev, 9) as stdev, round(greatest(0.0, c - h), 9) as wilson_low, round(least(1.0, c + h), 9) as wilson_high from i
+""", "ledger")
+def q66_run_summary(spark, sf_dir):
+    found = ledger.summary(views.ledger(spark, sf_dir), "approach", "fraction")
+    return found.select("approach", "fraction", "runs", *[F.round(c, 9).alias(c) for c in ("mean", "stdev", "wilson_low", "wilson_high")])
+
+
+@query("select paper_id, row_number() over (partition by paper_id order by page, round_even(y0, 0), x0, ord) - 1 as ord, page, md5(text) as text from (select paper_id, page, x0, y0 + ord % 2 / 2.0e0 as y0, ord, text from lines)", "raw_lines", "lines")
+def q67_sorted_lines(spark, sf_dir):
+    from ..sources import files
+
+    rows = views.lines(spark, sf_dir).withColumn("y0", F.col("y0") + F.col("ord") % 2 / 2.0)
+    return files.sorted_lines(rows).select("paper_id", "ord", "page", F.md5("text").alias("text"))
+
+
+_BANK = r"case when ord % 10 = 3 then ' Q' || cast(ord as varchar(9)) || '. ask' when ord % 10 = 7 then 'Q' || cast(ord as varchar(9)) || '.' when ord % 4 = 1 then '[2013/Prelim/ABCJC/II/' || cast(ord as varchar(9)) || ']' else 'x' || cast(ord * 7 % 11 as varchar(9)) end"
+
+
+@query(rf"""
+with l as (select paper_id, ord, cast(floor(ord / 8.0) as int) as page, {_BANK} as line from raw_lines),
+m as (select *, regexp_matches(line, '^\s*Q\d+\.') as mark, line like '[%' as tag, regexp_extract(line, '^\s*Q\d+\.(.*)$', 1) as rest from l),
+c as (select *, count(*) filter (where mark) over (partition by paper_id order by ord) as marks from m),
+t as (select *, count(*) filter (where tag) over (partition by paper_id, marks order by ord) as tags from c),
+n as (select *, count(*) filter (where mark or (tag and marks > 0 and tags > 1)) over (partition by paper_id order by ord) as number from t)
+select cast(paper_id as varchar) as source, cast(number as int) as number, min(page) as page, md5(coalesce(string_agg(case when not mark then line when trim(rest) <> '' then rest end, chr(10) order by ord), '')) as body,
+  coalesce(trim(arg_min(line, ord) filter (where tag), '[]'), '') as tag from n where number > 0 group by paper_id, number
+""", "raw_lines")
+def q68_bank_runs(spark, sf_dir):
+    from ..operators import books
+
+    lines = views.lines(spark, sf_dir).select(F.col("paper_id").cast("string").alias("source"), "page", "ord").withColumn("line", F.expr(_BANK))
+    pages = lines.groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("x")).select("source", "page", F.array_join(F.transform("x", lambda y: y["line"]), "\n").alias("text"))
+    return books.bank_runs(pages).select("source", "number", "page", F.md5("body").alias("body"), F.coalesce("tag", F.lit("")).alias("tag"))
+
+
+@query("select ord, coalesce(a.school, c.school) as school from corpus c left join (values ('SRC0', 'FIRST'), ('SRC1', 'FIRST')) a(alias, school) on c.school = a.alias", "corpus")
+def q69_school_fold(spark, sf_dir):
+    aliases = spark.createDataFrame([("SRC0", "FIRST"), ("SRC1", "FIRST")], "alias string, school string")
+    return groups.fold_schools(views.corpus(spark, sf_dir), aliases).select("ord", "school")
+
+
+_ANSWERS = "select 'one' as approach, f.fraction, s.seed, ord, y_true, case when (ord + s.seed) % 3 = 0 and f.fraction > 0.6e0 then predicted_b else predicted_a end as predicted from pred cross join (values (0.25e0), (0.5e0), (1.0e0)) f(fraction) cross join (values (42), (43), (44)) s(seed) where not (f.fraction = 0.5e0 and s.seed = 44)"
+
+
+def answers(spark, sf_dir):
+    a, b = (views.pred(spark, sf_dir, side).select("ord", "y_true", F.col("predicted").alias(f"predicted_{side}")) for side in "ab")
+    return spark.sql(_ANSWERS.replace("from pred", "from {both}"), both=a.join(b.drop("y_true"), "ord"))
+
+
+@query(f"""
+with x as ({_ANSWERS}), j as (select a.seed, coalesce(a.predicted = a.y_true, false) as ra, coalesce(b.predicted = b.y_true, false) as rb from x a join x b on a.seed = b.seed and a.ord = b.ord where a.fraction = 0.5e0 and b.fraction = 1.0e0)
+select 'one' as approach, seed, count(*) filter (where ra and rb) as "both", count(*) filter (where ra and not rb) as only_a, count(*) filter (where rb and not ra) as only_b, count(*) filter (where not ra and not rb) as neither,
+  round((count(*) filter (where rb and not ra) - count(*) filter (where ra and not rb)) / count(*)::double, 9) as difference, 0.5e0 as earlier, 1.0e0 as later from j group by seed
+""", "pred")
+def q70_last_step(spark, sf_dir):
+    return ledger.last_step(answers(spark, sf_dir)).select("approach", "seed", "both", "only_a", "only_b", "neither", F.round("difference", 9).alias("difference"), "earlier", "later")
+
+
+_FAULTY = "select case when ord % 17 = 0 then '' when ord % 19 = 0 then 'same' else id end as id, case when ord % 23 = 0 then 'none' when ord % 29 = 0 then null else chapter end as chapter, case when ord % 31 = 0 then '  ' else text end as text, case when ord % 37 = 0 then '\\Sol x' else text end as raw_text, source from corpus"
+
+
+@query(rf"""
+with r as ({_FAULTY})
+select id, 'no id' as fault from r where id = '' union all select id, 'unknown label' from r where coalesce(chapter, '') not in ('', 'de', 'en', 'es', 'fr', 'it')
+union all select id, 'no text' from r where trim(coalesce(text, '')) = '' union all select id, 'solution marks' from r where contains(coalesce(raw_text, ''), '\Sol')
+union all select id, 'repeated id' from r where id <> '' group by id having count(*) > 1
+""", "corpus")
+def q71_row_faults(spark, sf_dir):
+    rows = spark.sql(_FAULTY.replace("\\", "\\\\").replace("from corpus", "from {rows}"), rows=views.corpus(spark, sf_dir))
+    return corpus.row_faults(rows, views.langs(spark))
+
+
+@query("select source, count(*) as rows, count(distinct chapter) as labels, 0::bigint as unlabelled from corpus group by source", "corpus")
+def q72_rows_by_source(spark, sf_dir):
+    return corpus.rows_by_source(views.corpus(spark, sf_dir))
+
+
+@query("select approach, fraction, array_to_string(list_sort(list(distinct seed)), ',') as seeds from ledger group by all", "ledger")
+def q73_seed_coverage(spark, sf_dir):
+    return ledger.seed_coverage(views.ledger(spark, sf_dir)).select("approach", "fraction", F.array_join(F.col("seeds").cast("array<string>"), ",").alias("seeds"))
+
+
+@query("select y_true, predicted, n, first_ord, (select count(*) from (select 1 from pred where y_true <> predicted_a group by y_true, predicted_a having count(*) = 1)) as singles from (select y_true, predicted_a as predicted, count(*) as n, min(ord) as first_ord from pred where y_true <> predicted_a group by all having count(*) >= 2) order by n desc, first_ord limit 8", "pred")
+def q74_worst_confusions(spark, sf_dir):
+    return metrics.worst_confusions(views.pred(spark, sf_dir, "a"), 8, 2)
+
+
 # --- without SQL: order-dependent choices, scans in Python, fitted models ----------------------
 
 

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CORPUS = """
-select source || ':' || cast(d.doc_id as string) as id, d.doc_id as ord, d.lang as chapter, d.text, d.source,
+select source || ':' || cast(d.doc_id as string) as id, d.doc_id as ord, case when d.doc_id % 90 = 0 then 'it' else d.lang end as chapter, d.text, d.source,
   case when d.doc_id % 3 <> 0 then upper(d.source) end as school,
   cast(case when d.doc_id % 3 <> 0 then 2019 + d.doc_id % 6 end as int) as year,
   case d.doc_id % 5 when 0 then 'I' when 1 then 'P1' when 2 then 'II' when 3 then 'P2' else 'p 2' end as paper,
   case d.doc_id % 4 when 0 then 'Q11' when 1 then '11' when 2 then '11(a)' else 'Q11(a)' end as question_no,
   case d.doc_id % 7 when 0 then 'Mathematical Induction' when 1 then 'Binomial Thoerem' when 2 then 'Binomial & Poisson Distributions' end as topic,
-  case when d.doc_id % 2 = 0 then d.source end as source_file,
-  case d.doc_id % 10 when 8 then 'test' when 9 then 'val' else 'train' end as split,
+  case when d.doc_id % 2 = 0 then d.source || '-' || case when d.doc_id % 90 = 0 then 'it' else d.lang end end as source_file,
+  case cast(floor(d.doc_id / 7.0) as bigint) % 10 when 8 then 'test' when 9 then 'val' else 'train' end as split,
   l.quality as quality
 from documents d left join labels l on d.doc_id = l.doc_id
 """

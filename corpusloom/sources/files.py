@@ -10,7 +10,7 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -38,9 +38,10 @@ def read_extractions(spark: SparkSession, paths: list[str]) -> DataFrame:
         raise FileNotFoundError(f"extractor output missing: {missing[0]}")
     out = None
     for rank, path in enumerate(paths):
-        # One file is one ordered run of lines; its offset is its order.
-        rows = spark.read.schema(schemas.CORPUS).json(path)
-        part = rows.withColumn("ord", F.monotonically_increasing_id() + F.lit(rank << 52))
+        # A line's place is the offset of its block and its number there, which never reaches the next block's offset.
+        rows = spark.read.schema(schemas.CORPUS).json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+        number = F.row_number().over(Window.partitionBy("_file", "_start").orderBy("_at")) - 1
+        part = rows.withColumn("ord", F.lit(rank << 52) + F.col("_start") + number).drop("_file", "_start", "_at")
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
@@ -49,6 +50,7 @@ def _texts(spark: SparkSession, pattern: str) -> DataFrame:
     """path, name, folder, raw of whole text files."""
     found = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     parts = F.split("path", "/")
+    found = found.orderBy("path")
     return found.withColumns({"name": F.element_at(parts, -1), "folder": F.element_at(parts, -2), "parent": F.element_at(parts, -3)})
 
 
@@ -120,8 +122,6 @@ def school_aliases(spark: SparkSession, path: str | None) -> DataFrame:
 
 def sorted_lines(lines: DataFrame) -> DataFrame:
     """``lines`` with ``ord``: by page, height rounded half to even, then from the left; equal places keep their order."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("paper_id").orderBy("page", F.bround("y0", 0), "x0", "ord")
     return lines.withColumn("ord", F.row_number().over(order).cast("long") - 1)
 
@@ -151,6 +151,37 @@ def pdf_lines(spark: SparkSession, pattern: str) -> DataFrame:
     return sorted_lines(files.mapInPandas(read, schemas.LINE))
 
 
+def pdf_pages(spark: SparkSession, pattern: str) -> DataFrame:
+    """source (the folder), page from 0, text of PDF files; needs a PDF library on the executors, which is imported there only."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import fitz
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                with fitz.open(stream=content, filetype="pdf") as doc:
+                    yield pd.DataFrame([(path.split("/")[-2], page.number, page.get_text()) for page in doc], columns=["source", "page", "text"])
+
+    files = spark.read.format("binaryFile").load(pattern).where(~F.col("path").contains("Sol")).select("path", "content")
+    return files.mapInPandas(read, "source string, page int, text string")
+
+
+def label_skeleton(found: DataFrame, pdf: str, label: str, pages: list[int]) -> dict:
+    """The entry of a truth file to be checked by hand, from the questions (number, pages) that the reader found in one paper."""
+    questions = [{"n": r.number, "pages": list(r.pages)} for r in found.orderBy("number").select("number", "pages").collect()]  # one paper
+    return {label: {"pdf": safe_path(pdf), "label": label, "held_out": False, "pages": pages, "note": "", "questions": questions}}
+
+
+def renumbered(truth: DataFrame, recipe: DataFrame) -> DataFrame:
+    """``truth`` (paper_id, number, pages) of papers that were rebuilt from some of their pages: each page is its place in the recipe (paper_id, kept)."""
+    joined = truth.join(recipe, "paper_id")
+    place = F.transform("pages", lambda p: (F.array_position("kept", p) - 1).cast("int"))
+    return joined.withColumn("pages", place).withColumn("start_page", F.array_min("pages")).drop("kept")
+
+
 # --- sinks ---------------------------------------------------------------------------------
 
 
@@ -168,6 +199,19 @@ def write_jsonl(rows: DataFrame, path: str, root: str | None = None) -> None:
     (rows.orderBy("ord").drop("ord") if "ord" in rows.columns else rows).write.mode("overwrite").json(target)
 
 
+def write_corpus(rows: DataFrame, path: str, side_path: str, root: str | None = None) -> None:
+    """Labelled rows to one place, unlabelled ones to another, in order; nothing is written if an id is missing or repeated."""
+    corpus.require_unique_ids(rows)
+    labelled, unlabelled = corpus.labelled(rows)
+    write_jsonl(labelled, path, root)
+    write_jsonl(unlabelled, side_path, root)
+
+
+def write_report(path: str, text: str, root: str | None = None) -> str:
+    """A Markdown report in one step."""
+    return write_atomically(inside(root, path) if root else path, text)
+
+
 def write_split(rows: DataFrame, split: DataFrame, path: str, labels: DataFrame | None = None) -> None:
     """Check a split, then write it, one folder for each part; nothing is written if a check fails."""
     from ..operators import split as splitting
