@@ -2,9 +2,11 @@
 
 Every assistant turn becomes an example of its own: all preceding turns are its context and only
 its reply is trainable. The formatted conversation is stored once, as segments, one for each
-turn; an example is a prefix of it with a trainable span, so that a conversation of n turns takes
-space in proportion to n and not to its square. :func:`examples` lists the spans;
-:func:`example_texts` writes out the texts of those that are asked for.
+turn; an example is a prefix of it, its context, told by length and SHA-256, with its reply as the
+only trainable part, so that a conversation of n turns takes space in proportion to n and not to its
+square. :func:`examples` explodes the assistant turns; :func:`example_texts` writes out the texts of those
+that are asked for; :func:`digests` reads examples back against the segments and fails where
+a context is not what precedes its reply.
 
 Template: a user turn is ``<s>[INST] text [/INST]``, an assistant turn ``<s> text </s>``, a turn
 of any other role ``<s><<ROLE>> role <</ROLE>> text </s>``. A control string inside a role or
@@ -13,8 +15,9 @@ it is read back. No template mark has a backslash before it, so marks and texts
 for each other.
 
 Rows of a conversation are ordered by turn, then role, then text, so ties have a defined order.
-Null roles and texts are empty; a null conversation id is a conversation like any other. One
-sorted pass streams the turns, so a conversation of any length takes constant memory.
+Null roles and texts are empty; a null conversation id is a conversation like any other; rows that
+repeat a turn are turns of their own; an empty table gives empty results; further columns are not
+looked at. One sorted pass streams the turns, so a conversation of any length takes constant memory.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ _ANY = "|".join(map(re.escape, CONTROL))
 _ESCAPE, _UNESCAPE = re.compile(rf"(\\*)({_ANY})"), re.compile(rf"\\(\\*(?:{_ANY}))")
 _TURN = re.compile(rf"{re.escape(START)}(?:(?P<user>{re.escape(USER)} (?P<asked>.*) {re.escape(USER_END)})|(?:{re.escape(ROLE)} (?P<role>.*?) {re.escape(ROLE_END)})? (?P<said>.*) {re.escape(END)})", re.DOTALL)
 
-SEGMENTS = "conv_id long, seq long, role string, segment string, start long, end long, loss_start long, loss_end long, example long"
+SEGMENTS = "conv_id long, seq long, role string, segment string, start long, end long, loss_start long, loss_end long, example long, context_sha256 string"
 
 
 def escaped(text: str) -> str:
@@ -71,17 +74,20 @@ def parsed(segment: str) -> tuple[str, str]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    conv, seq, at, example = object(), 0, 0, 0
+    conv, seq, at, example, so_far = object(), 0, 0, 0, hashlib.sha256()
     for batch in batches:
         rows: list[tuple] = []
         for conv_id, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True):
             if conv_id != conv:
-                conv, seq, at, example = conv_id, 0, 0, 0
+                conv, seq, at, example, so_far = conv_id, 0, 0, 0, hashlib.sha256()
             segment, first, last = formatted(role, text)
             target = role == "assistant"
-            rows.append((conv_id, seq, role, segment, at, at + len(segment), at + first if target else None, at + last if target else None, example if target else None))
+            so_far.update(segment[:first].encode("utf-8", "surrogatepass"))
+            context = so_far.hexdigest() if target else None
+            so_far.update(segment[first:].encode("utf-8", "surrogatepass"))
+            rows.append((conv_id, seq, role, segment, at, at + len(segment), at + first if target else None, at + last if target else None, example if target else None, context))
             seq, at, example = seq + 1, at + len(segment), example + target
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5]
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5, pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[x.split()[0] for x in SEGMENTS.split(", ")])
 
 
@@ -93,8 +99,13 @@ def segments(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
 
 def examples(formatted_turns: DataFrame) -> DataFrame:
-    """One row for each assistant turn: context is [0, loss_start) of its conversation, the trainable reply [loss_start, loss_end), the example ends at ``end``."""
-    return formatted_turns.where("example is not null").select("conv_id", "example", "seq", "loss_start", "loss_end", "end")
+    """One row for each assistant turn, an example of its own.
+
+    Its context is the first ``loss_start`` characters of its conversation, whose SHA-256 is ``context_sha256``;
+    ``reply`` is the formatted reply, all that is trainable; the example ends at ``end``.
+    """
+    reply = F.substring("segment", (F.col("loss_start") - F.col("start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    return formatted_turns.where("example is not null").select("conv_id", "example", "seq", "loss_start", "loss_end", "end", "context_sha256", reply.alias("reply"))
 
 
 def example_texts(formatted_turns: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -112,9 +123,40 @@ def example_texts(formatted_turns: DataFrame, wanted: DataFrame) -> DataFrame:
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
 
+class ExampleError(ValueError):
+    """An example that does not fit its conversation."""
+
+
+class _Conversation:
+    """A conversation as it is read back, turn by turn, each turn followed by the example that it is the reply of."""
+
+    def __init__(self, conv_id: int | None):
+        self.conv_id, self.turns, self.chars, self.examples, self.loss_chars = conv_id, 0, 0, 0, 0
+        self.said, self.loss, self.so_far = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.segment, self.begun = "", self.so_far.copy()
+
+    def turn(self, segment: str) -> None:
+        role, text = parsed(segment)
+        self.said.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        self.segment, self.begun = segment, self.so_far.copy()
+        self.so_far.update(segment.encode("utf-8", "surrogatepass"))
+        self.turns, self.chars = self.turns + 1, self.chars + len(segment)
+
+    def example(self, number: int, start: int, end: int, context: str, reply: str) -> None:
+        at = start - (self.chars - len(self.segment))
+        self.begun.update(self.segment[: max(at, 0)].encode("utf-8", "surrogatepass"))
+        if at < 0 or self.begun.hexdigest() != context or self.segment[at : at + len(reply)] != reply or end - start != len(reply) or number != self.examples:
+            raise ExampleError(f"example {number} of conversation {self.conv_id} does not follow its context")
+        text = unescaped(reply)
+        self.loss.update(text.encode("utf-8", "surrogatepass"))
+        self.loss_chars, self.examples = self.loss_chars + len(text), self.examples + 1
+
+    def row(self) -> tuple:
+        return self.conv_id, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.examples
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Read the segments back, conversation by conversation; the hashes take one turn at a time."""
-    state: list | None = None
+    current: _Conversation | None = None
     done: list[tuple] = []
 
     def out() -> pa.RecordBatch:
@@ -123,31 +165,28 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done.clear()
         return batch
 
-    def close() -> None:
-        if state is not None:
-            done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6]))
-
     for batch in batches:
-        for conv_id, segment, start, first, last in zip(*(batch[c].to_pylist() for c in ("conv_id", "segment", "start", "loss_start", "loss_end")), strict=True):
-            if state is None or state[0] != conv_id:
-                close()
-                state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-            role, text = parsed(segment)
-            state[1] += 1
-            state[2].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            if first is not None:
-                reply = unescaped(segment[first - start : last - start])
-                state[3] += len(reply)
-                state[4].update(reply.encode("utf-8", "surrogatepass"))
-                state[6] += 1
-            state[5] += len(segment)
+        for conv_id, number, text, start, end, context in zip(*(batch[c].to_pylist() for c in ("conv_id", "example", "said", "loss_start", "loss_end", "context_sha256")), strict=True):
+            if current is None or current.conv_id != conv_id:
+                done += [current.row()] if current else []
+                current = _Conversation(conv_id)
+            if number is None:
+                current.turn(text)
+            else:
+                current.example(number, start, end, context, text)
         if done:
             yield out()
-    close()
-    if done:
+    if current is not None:
+        done.append(current.row())
         yield out()
 
 
-def digests(formatted_turns: DataFrame) -> DataFrame:
-    """What the formatted turns say, read back: one row for each conversation. Takes :func:`segments` as they come, in order."""
-    return formatted_turns.mapInArrow(_digests, DIGESTS)
+def digests(formatted_turns: DataFrame, found: DataFrame) -> DataFrame:
+    """What the formatted turns and their examples say, read back: one row for each conversation.
+
+    ``found`` is of :func:`examples`; the loss columns come from its rows, each held against what precedes it in the segments.
+    """
+    turns = formatted_turns.select("conv_id", "seq", F.lit(None).cast("long").alias("example"), F.col("segment").alias("said"), F.lit(None).cast("long").alias("loss_start"), F.lit(None).cast("long").alias("loss_end"), F.lit(None).cast("string").alias("context_sha256"))
+    both = turns.unionByName(found.select("conv_id", "seq", "example", F.col("reply").alias("said"), "loss_start", "loss_end", "context_sha256"))
+    order = both.repartition(shuffle_partitions(both.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq", F.col("example").asc_nulls_first())
+    return order.mapInArrow(_digests, DIGESTS)

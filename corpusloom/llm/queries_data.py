@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, exact_dedup, line_dedup, sharding
-from .common import table
+from .common import table, written
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one made of control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.segments(turns.unionByName(probe)))
+    made = written(chat.segments(turns.unionByName(probe)), "segments")
+    return chat.digests(made, chat.examples(made))
 
 
 OP6_SQL = r"""
