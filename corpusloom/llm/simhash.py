@@ -133,7 +133,7 @@ def _following(firsts: DataFrame) -> DataFrame:
     order = Window.orderBy("bucket")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     pairs = firsts.select("bucket").distinct().select("bucket", F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(everything)).alias("follows"))
-    return firsts.join(pairs, "bucket").drop("bucket").withColumnRenamed("follows", "bucket")
+    return firsts.join(pairs.hint("merge"), "bucket").drop("bucket").withColumnRenamed("follows", "bucket")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,15 +143,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text is the text whose last half (rounded down) is replaced by as many of the first
     code points of the next document. Only (id, text) is shuffled, once, by ranges of the id.
     """
-    rows = _bucketed(text_rows(docs, id_col, text_col))
-    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    ranked = rows.withColumns({"rank": F.row_number().over(order), "next": F.lead("text").over(order)})
-    firsts = _following(rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("top")).select("bucket", F.col("top.text").alias("first_text")))
-    joined = ranked.join(firsts, "bucket")
+    rows = _bucketed(text_rows(docs, id_col, text_col)).withColumn("guest", F.lit(False))
+    # The first row of the next bucket is the guest of a bucket, after all its own rows; no text is broadcast.
+    firsts = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "text")).alias("top")).select("bucket", "top.doc_id", "top.text", F.lit(True).alias("guest"))
+    order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    ranked = rows.unionByName(_following(firsts)).withColumns({"rank": F.row_number().over(order), "next": F.lead("text").over(order)})
+    joined = ranked.where("not guest")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    following = F.coalesce("next", "first_text")
-    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(following, F.lit(1), half))
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))
     both = joined.select("bucket", "rank", "doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     versions = both.select("bucket", "rank", "doc_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("edited_sha"), F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text")))).alias("v"))
     prints = fingerprints(versions.select("bucket", "rank", "doc_id", "n_chars", "edited_sha", "v.version", "v.text"))
@@ -160,5 +160,5 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = written(prints.groupBy(*keys).agg(pick("fp_a", 0).alias("fp_a"), pick("fp_b", 0).alias("fp_b"), pick("fp_a", 1).alias("ed_a"), pick("fp_b", 1).alias("ed_b")), "fingerprints")
     order = Window.partitionBy("bucket").orderBy("rank")
     heads = _following(found.where("rank = 1").select("bucket", F.col("fp_a").alias("first_a"), F.col("fp_b").alias("first_b")))
-    led = found.withColumns({"next_a": F.lead("fp_a").over(order), "next_b": F.lead("fp_b").over(order)}).join(heads, "bucket")
+    led = found.withColumns({"next_a": F.lead("fp_a").over(order), "next_b": F.lead("fp_b").over(order)}).join(heads.hint("merge"), "bucket")
     return led.select("doc_id", "n_chars", F.lower(F.hex("edited_sha")).alias("edited_sha256"), "fp_a", "fp_b", "ed_a", "ed_b", F.coalesce("next_a", "first_a").alias("next_a"), F.coalesce("next_b", "first_b").alias("next_b"))
