@@ -7,13 +7,13 @@ text counts as the empty text.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import shared_folder
+
 #: White space of the contracts: the space and the five ASCII controls from tab to carriage return.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -34,16 +34,6 @@ def id_remainder(column: Column | str, divisor: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a temporary one where it names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = os.path.join(tempfile.gettempdir(), "checkpoints")
-    return folder
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to the shared folder and read them back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
@@ -54,11 +44,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def removed(table: DataFrame) -> None:
-    """Delete the files of a table that :func:`written` gave back and that nothing reads any more."""
-    jvm, path = table.sparkSession._jvm, table.written_to
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+def removed(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`written` gave back and that nothing reads any more."""
+    for table in tables:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        place.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -4,8 +4,9 @@ A document is the weighted set of its shingles of five words, lower-cased and sp
 space (a shorter document is one shingle). The weight of a shingle is its count in the document
 times ``1 + ln((1 + N) / (1 + df)) / ln(2 + N)``, a smoothed inverse document frequency between
 1 and 2. Document frequencies are exact counts over all documents: chunks of documents send their
-sorted shingle hashes (64 bits) to shards by range, as many as the input asks for, which send back
-the count of each. Every distinct text then has the frequencies of its own shingles beside it.
+sorted shingle hashes (``HASH_BITS`` bits) to shards by range, as many as the input asks for, which send
+back the count of each. A chunk sends nothing to a shard that it has no hash for, so there are never more
+blocks than hashes. Every distinct text then has the frequencies of its own shingles beside it.
 
 Equal texts are one node. Every node gets ``BANDS`` x ``ROWS`` samples; each is equal for two
 documents with a probability of their weighted Jaccard similarity. The variates of a (sample,
@@ -15,7 +16,8 @@ share a bucket.
 Within a bucket the most central node leads, the one whose buckets hold most nodes together, and
 every other node is verified against it by the weighted Jaccard similarity of their whole texts.
 In a group of near copies that is nearly always the text that the others were made from, so a
-group of any size costs as many comparisons as it has nodes.
+group of any size costs as many comparisons as it has nodes. The pairs of a leader are dealt over
+tasks of ``SPREAD`` pairs, each with its own copy of the leader's text.
 
 Nodes that fail are compared with every node of their bucket that is not of their class already, by
 bounds first: blocks of at most ``BLOCK_NODES`` of them meet blocks of all nodes of the bucket. The
@@ -39,13 +41,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_rows, written
+from .common import id_keys, one_of_each, removed, text_rows, written
 from .components import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 14, 4
 CHUNK, SHARD = 1 << 20, 1 << 21
-BLOCK_NODES, PLACES = 2_048, 512
-_VARIATES = 1 << 16
+BLOCK_NODES, PLACES, SPREAD, HASH_BITS, KNOWN_WORDS = 2_048, 512, 2_000, 52, 200_000
+_VARIATE_BITS = 14
 _BLOCK = 1 << 12
 
 
@@ -60,17 +62,32 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class _Hashes(dict):
+    """The hash of each word seen so far; forgotten beyond ``KNOWN_WORDS``."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        self[word] = value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+_WORDS = _Hashes()
+
+
 def shingles(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the distinct shingles of a text, ascending, and their counts."""
-    import xxhash
-
     own = text.lower().split()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+    if len(_WORDS) > KNOWN_WORDS:
+        _WORDS.clear()
+    hashes = np.fromiter(map(_WORDS.__getitem__, own), np.uint64, len(own))
     n = max(1, len(hashes) - words + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(words, len(hashes))):
         out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
-    return np.unique(_mixed(out), return_counts=True)
+    out = np.sort(_mixed(out) >> np.uint64(64 - HASH_BITS))
+    first = np.flatnonzero(np.concatenate([[True], out[1:] != out[:-1]]))
+    return out[first], np.diff(first, append=n)
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, idf: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -101,9 +118,10 @@ class Sampler:
 
     def __init__(self, samples: int = BANDS * ROWS):
         rng = np.random.default_rng(20_100_131)
-        self.r = rng.gamma(2.0, 1.0, _VARIATES).astype(np.float32)
-        self.ln_c = np.log(rng.gamma(2.0, 1.0, _VARIATES)).astype(np.float32)
-        self.beta = rng.random(_VARIATES, np.float32)
+        n = 1 << _VARIATE_BITS
+        self.r = rng.gamma(2.0, 1.0, n).astype(np.float32)
+        self.ln_c = np.log(rng.gamma(2.0, 1.0, n)).astype(np.float32)
+        self.beta = rng.random(n, np.float32)
         self.by_r = (1 / self.r).astype(np.float32)
         self.constant = self.ln_c - self.r + self.r * self.beta
         self.odd = rng.integers(0, 1 << 63, samples, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,9 +135,14 @@ class Sampler:
         rows = np.arange(self.samples)
         for at in range(0, len(hashes), _BLOCK):
             h, w = hashes[at : at + _BLOCK], ln_w[at : at + _BLOCK]
-            place = ((h[None, :] * self.odd[:, None]) >> np.uint64(48)).astype(np.intp)
-            t = np.floor(w[None, :] * self.by_r.take(place) + self.beta.take(place))
-            ln_a = self.constant.take(place) - self.r.take(place) * t
+            place = ((h[None, :] * self.odd[:, None]) >> np.uint64(64 - _VARIATE_BITS)).view(np.int64)
+            t = self.by_r.take(place, mode="clip")
+            t *= w
+            t += self.beta.take(place, mode="clip")
+            np.floor(t, out=t)
+            ln_a = self.r.take(place, mode="clip")
+            ln_a *= t
+            np.subtract(self.constant.take(place, mode="clip"), ln_a, out=ln_a)
             least = ln_a.argmin(axis=1)
             value = ln_a[rows, least]
             better = value < best
@@ -129,7 +152,7 @@ class Sampler:
         return out
 
     def bands(self, samples: np.ndarray, rows: int = ROWS) -> np.ndarray:
-        """One key for each band of ``rows`` samples."""
+        """One key for each band of ``rows`` samples; of several texts one after the other."""
         samples = samples.reshape(-1, rows)
         key = np.zeros(len(samples), np.uint64)
         for k in range(rows):
@@ -157,7 +180,7 @@ def _sent(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         hashes = np.concatenate(found)
         order = np.argsort(hashes, kind="stable")
         hashes, owners = hashes[order], np.repeat(np.arange(len(found), dtype=np.uint16), [len(x) for x in found])[order]
-        cuts = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+        cuts = np.searchsorted((hashes >> np.uint64(HASH_BITS - 32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
         out = []
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             own = hashes[cuts[k] : cuts[k + 1]]
@@ -228,11 +251,9 @@ def _sampled(n_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler()
         for batch in batches:
-            keys = []
-            for text, df in zip(batch["text"].to_pylist(), batch["df"].to_pylist(), strict=True):
-                keys.append(sampler.bands(sampler(*weighted(text, df, n_docs))))
-            n = len(keys)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            n = batch.num_rows
+            samples = [sampler(*weighted(text, df, n_docs)) for text, df in zip(batch["text"].to_pylist(), batch["df"].to_pylist(), strict=True)]
+            flat = sampler.bands(np.concatenate(samples)) if n else np.empty(0, np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["node"], bands], names=["doc_id", "node", "bands"])
 
@@ -352,17 +373,24 @@ def near_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     entries = nodes.select("node", "id", F.posexplode("bands").alias("band", "key"))
     sizes = entries.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(entries.join(sizes, ["band", "key"]), "buckets")
+    removed(sampled)
     central = written(buckets.groupBy("node", "id").agg(F.sum("n").alias("central")), "candidates")
     ranked = buckets.join(central.select("node", "central"), "node")
     leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("central", "node", "id")).alias("top")).select("band", "key", F.col("top.node").alias("leader"), F.col("top.id").alias("leader_id"))
     shared = written(buckets.join(leaders, ["band", "key"]).select("band", "key", "node", "id", "leader", "leader_id"), "led")
+    removed(buckets)
     wanted = central.join(known, "node").select(F.col("node").alias("wanted"), F.col("id").alias("wanted_id"), "df")
     texts = rows.join(wanted.hint("merge"), (rows.node == wanted.wanted) & rows.doc_id.eqNullSafe(wanted.wanted_id)).select("node", "text", "df")
     texts = written(texts.dropDuplicates(["node"]), "candidate-texts")
+    removed(known, central)
+
     def verified(pairs: DataFrame) -> DataFrame:
         """``pairs`` (node, head) judged by their texts: node, leader, linked."""
-        heads = texts.select(F.col("node").alias("head"), F.col("text").alias("leader_text"), F.col("df").alias("leader_df"))
-        both = pairs.hint("merge").join(texts, "node").hint("merge").join(heads, "head").select("node", F.col("head").alias("leader"), "text", "df", "leader_text", "leader_df")
+        parts = F.ceil(F.col("n") / SPREAD).cast("int")
+        sizes = pairs.groupBy("head").agg(F.count("*").alias("n"))
+        dealt = pairs.join(sizes.hint("merge"), "head").select("node", "head", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"))
+        heads = texts.join(sizes.hint("merge"), texts.node == sizes["head"]).select("head", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("text").alias("leader_text"), F.col("df").alias("leader_df"))
+        both = dealt.hint("merge").join(texts, "node").hint("merge").join(heads, ["head", "part"]).select("node", F.col("head").alias("leader"), "text", "df", "leader_text", "leader_df")
         return written(both.mapInArrow(_verified(n_docs, least), "node binary, leader binary, linked boolean"), "verified")
 
     judged = verified(shared.where("node != leader").select("node", F.col("leader").alias("head")).distinct())
@@ -372,27 +400,30 @@ def near_links(rows: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     pairs = _rest(shared, failed, labels, texts, n_docs, least).select(F.least("node", "head").alias("node"), F.greatest("node", "head").alias("head")).distinct()
     seen = tried.select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("head")).distinct()
     rest = verified(pairs.join(seen, ["node", "head"], "left_anti"))
-    links = judged.where("linked").unionByName(rest.where("linked")).select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    links = written(judged.where("linked").unionByName(rest.where("linked")).select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct(), "links")
+    removed(shared, texts, judged, rest)
     return ids, links
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id and node of every row; the class is named by its least id."""
+    """doc_id, class_id, links, node and class_node of every row; the class is named by its least id.
+
+    ``links`` is the number of other texts that the row's text was verified to be as similar to as ``least``.
+    """
     rows, links = near_links(_nodes(docs, id_col, text_col), least)
     labels = components(links)
+    counts = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().groupBy(F.col("u").alias("node")).agg(F.count("*").alias("links"))
     ids = rows.groupBy("node").agg(F.min("doc_id").alias("id"))
     labelled = written(ids.join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label")), "labels")
     names = labelled.groupBy("label").agg(F.min("id").alias("class_id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "node"))).alias("first"), F.min("node").alias("least_node"))
-    classes = labelled.join(names, "label").select("node", "class_id", F.coalesce("first.node", "least_node").alias("class_node"))
-    return rows.join(classes, "node").select("doc_id", "class_id", "node", "class_node")
+    named = labelled.join(names, "label").join(counts, "node", "left")
+    classes = named.select("node", "class_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("first.node", "least_node").alias("class_node"))
+    return rows.join(classes, "node").select("doc_id", "class_id", "links", "node", "class_node")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, of one document of each class: its least id (of rows that repeat it, one)."""
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("doc_id"), _node(F.coalesce(docs[text_col], F.lit(""))).alias("node"))
     found = near_duplicates(docs, least, id_col, text_col)
     stays = found.where((F.col("node") == F.col("class_node")) & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    stays = written(stays.groupBy(F.col("node").alias("kept_node"), F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    joined = packed.join(stays.hint("merge"), (packed.node == stays.kept_node) & packed.doc_id.eqNullSafe(stays.kept_id))
-    once = joined.where("n = 1").select("row.*")
-    return once.unionByName(joined.where("n > 1").groupBy("kept_node").agg(F.first("row").alias("row")).select("row.*"))
+    stays = stays.select("node", *[v.alias(k) for k, v in id_keys(F.col("doc_id")).items()]).distinct()
+    return one_of_each(docs, {"node": _node(F.coalesce(docs[text_col], F.lit(""))), **id_keys(docs[id_col])}, stays)
