@@ -37,7 +37,7 @@ from .common import id_remainder, text_rows
 WINDOW, STRIDE, HIDDEN, DIM, ATTENTION = 32, 16, 8, 12, 8
 WORD_ROWS, CHAR_ROWS, NGRAMS = 1 << 14, 1 << 16, (3, 4, 5)
 POSITIVES, NEGATIVES, PASSES, BATCH, STEPS, FIRST_PASS = 2_000, 3_000, 5, 128, 100, 8
-KNOWN_WORDS, BLOCK, PIECE, FIRST_STEPS, BYTES = 200_000, 2_048, 120, 320, 2 << 20
+KNOWN_WORDS, BLOCK, PIECE, FIRST_STEPS, BYTES, STEP = 150_000, 2_048, 120, 320, 2 << 20, 512
 RUN_WORDS = 1 << 17  # a multiple of STRIDE, so that runs have the windows of the whole
 _WORD = re.compile(r"\w+").findall
 
@@ -369,22 +369,26 @@ def fit(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int = 2)
     return bytes(found[0].weights) if found else None
 
 
-def _scored(weights, more: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(weights, kept: str, field: int | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The column ``kept`` with the score of the text, which is a column, or a field of ``kept``; a few rows at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None if weights.value is None else Scorer(Network.load(weights.value))
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            score: list[float] = []
-            part: list[str] = []
-            size = 0
-            for text in [*texts, None]:  # about ``BYTES`` of text at a time
-                if text is not None:
-                    part.append(text)
-                    size += len(text)
-                if part and (text is None or size > BYTES):
-                    score += scorer(part).tolist() if scorer else [0.0] * len(part)
-                    part, size = [], 0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:more], pa.array(score, pa.float64())], names=[*batch.schema.names[:more], "score"])
+            for at in range(0, batch.num_rows, STEP):
+                rows = batch.slice(at, STEP)
+                column = rows["text"] if field is None else rows[kept].field(field).cast(pa.string())
+                score: list[float] = []
+                part: list[str] = []
+                size = 0
+                for text in [*(t or "" for t in column.to_pylist()), None]:  # about ``BYTES`` of text at a time
+                    if text is not None:
+                        part.append(text)
+                        size += len(text)
+                    if part and (text is None or size > BYTES):
+                        score += scorer(part).tolist() if scorer else [0.0] * len(part)
+                        part, size = [], 0
+                yield pa.RecordBatch.from_arrays([rows[kept], pa.array(score, pa.float64())], names=[kept, "score"])
 
     return run
 
@@ -393,12 +397,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int
     """doc_id and score of every row of ``docs``, by a network trained on ``labels`` (doc_id, toxic)."""
     rows = text_rows(docs, id_col, text_col)
     weights = docs.sparkSession.sparkContext.broadcast(fit(rows, labels, divisor, held_out))  # of fixed size
-    return rows.select("doc_id", "text").mapInArrow(_scored(weights, 1), "doc_id long, score double")
+    return rows.select("doc_id", "text").mapInArrow(_scored(weights, "doc_id"), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose score is below the threshold."""
     weights = docs.sparkSession.sparkContext.broadcast(fit(text_rows(docs, id_col, text_col), labels))
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    kept = packed.mapInArrow(_scored(weights, 1), packed.select("row").schema.add("score", "double"))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # the text goes to Python once, within its row
+    kept = packed.mapInArrow(_scored(weights, "row", docs.columns.index(text_col)), packed.select("row").schema.add("score", "double"))
     return kept.where(F.col("score") < threshold).select("row.*")
