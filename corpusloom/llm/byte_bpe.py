@@ -153,9 +153,9 @@ class Settled:
             if piece:
                 self.first[rank], self.last[rank] = piece[0], piece[-1]
 
-    def ranks(self, ids: np.ndarray) -> np.ndarray:
-        """The rank of each id with the next."""
-        return _lookup(self.pairs, ids[:-1] << 16 | ids[1:])
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids."""
+        return _lookup(self.pairs, left << 16 | right)
 
     def joined(self, ids: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Where ``ids`` (END, a word, END, END, a word, ...) have pairs that merge whatever becomes of their neighbours."""
@@ -189,8 +189,9 @@ def initial(words: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
         joined = known.joined(ids, rank)
         ids[joined] = rank[joined[:-1]]
         stays = np.append(True, ~joined[:-1])
-        ids, ends = ids[stays], stays.cumsum()[ends - 1]
-        rank = known.ranks(ids)
+        ids, ends, rank, joined = ids[stays], stays.cumsum()[ends - 1], np.append(rank, NONE)[stays][:-1], joined[stays]
+        fresh = np.flatnonzero(joined[:-1] | joined[1:])  # all other pairs are as they were
+        rank[fresh] = known.ranks(ids[fresh], ids[fresh + 1])
     for k, word in enumerate(words):  # whole pieces, and what the fold would take too long for
         if len(word) > LONG_WORD or word in table:
             at, end = (int(ends[k - 1]) if k else 0) + 1, int(ends[k]) - 1
