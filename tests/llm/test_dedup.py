@@ -74,7 +74,7 @@ def plain_lines(rows, least):
     seen = collections.defaultdict(set)
     for i, t in rows:
         for line in (t or "").split("\n"):
-            seen[key(line)].add((i, t or ""))
+            seen[key(line)].add(i)
     out = []
     for i, t in rows:
         lines = (t or "").split("\n")

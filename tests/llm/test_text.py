@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from corpusloom.llm import byte_bpe, chat, ngram_lm, packing, toxicity
 
@@ -59,7 +60,6 @@ def check_packing(rows, found, size=2048):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     pieces = collections.Counter()
     for i, t in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -89,6 +89,25 @@ def test_packing(spark, documents, awkward, monkeypatch):
     assert packing.pack_documents(documents([]), BPE, FAST).count() == 0
 
 
+def test_loss_by_groups(spark, monkeypatch):
+    """A group loses a few sequences, so the share that many groups lose depends on their size alone."""
+    lengths = np.random.default_rng(4).integers(1, 2049, 4_000)
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "unit long, length long").cache()
+    bound = -(-int(lengths.sum()) // 2048)
+    used = {}
+    for groups in (1, 20, 200):
+        monkeypatch.setattr(packing, "GROUP_ROWS", 4_000 // groups)
+        placed = packing.pack_pieces(pieces)
+        assert placed.count() == 4_000
+        used[groups] = placed.select("sequence_id").distinct().count()
+    assert used[1] <= bound * 1.012 and used[20] <= bound * 1.06 and used[200] <= bound * 1.12, (bound, used)
+
+
+def test_special_token_s_string():
+    assert list(packing._encoder(BPE, FAST)("a<|endoftext|>b")) == [64, 50256, 65] == list(packing._encoder(BPE, None)("a<|endoftext|>b"))
+    assert 50256 not in packing._encoder(BPE, FAST, True)("a<|endoftext|>b")
+
+
 def test_fast_path_agrees_below_its_bound():
     slow, fast = packing._encoder(BPE, None), packing._encoder(BPE, FAST)
     for c in map(chr, range(0x370)):
@@ -109,7 +128,7 @@ def test_bpe_against_library(spark, documents, awkward, monkeypatch):
     rng = random.Random(3)
     rows = awkward + [(100 + i, "".join(rng.choice("abc ABC éüß1 \n.,漢🙂'") for _ in range(rng.randint(0, 200)))) for i in range(150)]
     plain = reference()
-    rows = [(i, t) for i, t in rows if i not in (5, 8)] + [(5, "word " * 500), (8, "x" * 700)]
+    rows += [(i + 1000, w) for i, w in enumerate(("y" * 1_024, "y" * 1_025, "<|endoftext|>", "".join(rng.choice("etaoinshrdlu") for _ in range(900))))]
     want = sorted((str(i), plain.encode_ordinary(t or "")) for i, t in rows)
     for chunk, known in ((1 << 20, 1 << 20), (300, 50)):
         monkeypatch.setattr(byte_bpe, "CHUNK_BYTES", chunk)
@@ -123,6 +142,26 @@ def test_bpe_against_library(spark, documents, awkward, monkeypatch):
     assert byte_bpe.encode(documents([]), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=40) | st.text("aeinrst hé", min_size=1, max_size=40).map(str.encode), min_size=1, max_size=6))
+def test_settled_pairs_are_in_the_library_s_result(words):
+    """Every word starts as a cut of its bytes that the library's pieces only join, never cut."""
+    plain, pieces = reference(), byte_bpe.list_of_pieces(RANKS)
+    elements, ends = byte_bpe.initial(words, RANKS)
+    for word, a, b in zip(words, ends, ends[1:], strict=False):
+        ids = (elements[a:b] & byte_bpe.END).tolist()
+        assert ids[0] == ids[-1] == byte_bpe.END and b"".join(pieces[i] for i in ids[1:-1]) == word
+        starts = lambda own: set(np.cumsum([0, *(len(pieces[i]) for i in own)]).tolist())
+        whole = [byte_bpe.ranks(RANKS)[word]] if word in byte_bpe.ranks(RANKS) else byte_bpe.merged_by_heap(word, RANKS)
+        assert starts(whole) <= starts(ids[1:-1])
+        try:
+            text = word.decode()
+        except UnicodeDecodeError:
+            continue
+        if re.fullmatch(r"[a-zé]+", text):
+            assert plain.encode_ordinary(text) == whole
+
+
 # --- chat ---
 
 
@@ -144,12 +183,19 @@ def test_examples(spark):
     r = texts[1, 1]
     assert r.text.startswith("<s><<ROLE>> system <</ROLE>> be \\</s> kind </s>") and chat.unescaped(r.text[r.loss_start : r.loss_end]) == "bye" and r.text.endswith("bye </s>")
     assert r.text.startswith(texts[1, 0].text)
-    by = {d.conv_id: d for d in chat.digests(made).collect()}
+    by = {d.conv_id: d for d in chat.digests(made, found).collect()}
     ordered = sorted((t for t in turns if t[0] == 1), key=lambda t: t[1])
     assert by[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t or ''}\n" for _, _, r, t in ordered).encode()).hexdigest()
     assert by[1].loss_sha256 == hashlib.sha256(b"[INST] hellobye").hexdigest() and by[1].loss_chars == 15
     assert by[3].loss_sha256 == hashlib.sha256(b"ab").hexdigest() and by[None].n_turns == 1 and by[2].loss_chars == 0
-    assert chat.segments(df.limit(0)).count() == 0
+    assert chat.segments(df.limit(0)).count() == 0 and chat.digests(made.limit(0), found.limit(0)).count() == 0
+    for wrong in ({"reply": F.lit("bye!")}, {"context_sha256": F.lit("0" * 64)}, {"loss_start": F.col("loss_start") + 1}):
+        with pytest.raises(Exception, match="does not follow its context"):
+            chat.digests(made, found.withColumns(wrong)).collect()
+    long = spark.range(3_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("ab </s> "), 200).alias("text"), F.lit(7).alias("segment"), F.lit("x").alias("seq"))
+    made = chat.segments(long)
+    row = chat.digests(made, chat.examples(made)).first()
+    assert (row.n_turns, row.n_examples, row.loss_chars) == (3_000, 1_500, 1_500 * 1_600)
 
 
 # --- toxicity ---
@@ -245,26 +291,33 @@ def test_elias_fano(values, asked):
     place = {x: i for i, x in enumerate(v.tolist())}
     assert sequence.find(q).tolist() == [place.get(x, -1) for x in q.tolist()]
     assert sequence.lows(np.arange(len(v))).tolist() == [x % (1 << sequence.low_bits) for x in v.tolist()]
+    assert sequence.get(np.arange(len(v))).tolist() == v.tolist()
 
 
 def test_trie_against_dict():
     rng = np.random.default_rng(2)
-    pairs = np.unique(rng.integers(0, 50, 3000, dtype=np.uint64) << np.uint64(30) | rng.integers(0, 400, 3000, dtype=np.uint64))
+    bits = np.uint64(ngram_lm.WORD_BITS)
+    pairs = np.unique(rng.integers(0, 50, 3000, dtype=np.uint64) << bits | rng.integers(0, 400, 3000, dtype=np.uint64))
     counts = rng.integers(1, 1000, len(pairs))
-    trie = ngram_lm.Trie(pairs, counts)
-    asked = np.unique(np.concatenate([pairs[::2], pairs[:500] + np.uint64(1), np.array([99 << 30], np.uint64)]))
+    trie = ngram_lm.Trie(pairs, counts, {7: 10**7})
+    asked = np.unique(np.concatenate([pairs[::2], pairs[:500] + np.uint64(1), np.array([99], np.uint64) << bits]))
     found, known = trie.find(asked), dict(zip(pairs.tolist(), counts.tolist(), strict=True))
+    total = collections.Counter()
+    for p, n in known.items():
+        total[p >> ngram_lm.WORD_BITS] += n
+    total[7] = 10**7
+    assert np.diff(trie.pointers.get(np.arange(trie.contexts.n + 1)).astype(np.int64)).tolist() == [n for _, n in sorted(collections.Counter(p >> ngram_lm.WORD_BITS for p in known).items())]
     trie.close()
     for p, code in zip(asked.tolist(), found.tolist(), strict=True):
         assert (code > 0) == (p in known)
         if code:
-            assert abs(ngram_lm.restored(np.array([code - 1]))[0] / known[p] - 1) < 1e-3
+            assert abs(ngram_lm.restored(np.array([code - 1]))[0] * (total[p >> ngram_lm.WORD_BITS] + ngram_lm.MU) / known[p] - 1) < 1e-3
 
 
 @pytest.mark.parametrize(("chunk", "shard"), [(1 << 22, 1 << 24), (400, 900)])
 def test_scores_against_counting(spark, documents, awkward, monkeypatch, chunk, shard):
     rng = random.Random(9)
-    rows = [r for r in awkward if r[0] not in (5, 8)] + [(100 + i, " ".join(rng.choice(["a", "B", "cc", "Dd", "e" + str(rng.randrange(9))]) for _ in range(rng.randint(0, 40)))) for i in range(80)]
+    rows = awkward + [(100 + i, " ".join(rng.choice(["a", "B", "cc", "Dd", "e" + str(rng.randrange(9))]) for _ in range(rng.randint(0, 40)))) for i in range(80)]
     monkeypatch.setattr(ngram_lm, "CHUNK_CHARS", chunk)
     monkeypatch.setattr(ngram_lm, "SHARD_CHARS", shard)
     found = ngram_lm.scores(documents(rows)).collect()
