@@ -1,6 +1,11 @@
 """The training-data pipeline: toxicity, exact dedup, near-duplicate dedup, packing.
 
 Each stage takes all rows that its predecessor kept, is written as Parquet and read again.
+
+Defined results, of all stages: a null text counts as empty; null ids are kept apart from all others, and of
+equal or similar texts a row with an id stays before one without; of rows that repeat an id and a text
+one stays after exact dedup; further columns are handed on, whatever their names; an empty table gives
+an empty table. Without labels of both classes no document is toxic.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import exact_dedup, near_dedup, packing, toxicity
-from corpusloom.llm.common import table, written
+from corpusloom.llm.common import removed, table, written
 
 THRESHOLD, SEQUENCE, END_ID = 0.3, 2048, 0
 
@@ -42,7 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage, over all documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before is not None:
+            removed(before)
+        before = docs
     return docs
