@@ -14,9 +14,10 @@ Two rules: ``min_docs=n`` drops every line whose key stands in at least ``n`` do
 ``keep_first=True`` drops every line but the first occurrence of its key, by document and
 position.
 
-Defined results: a null or empty text is one empty line. A document is told by its id and its
-text, so rows that repeat both are one document and share a bitmap; rows that share only the id
-are different documents. Keys shorter than ``min_chars`` code points always stay.
+Defined results: a null or empty text is one empty line. The documents that hold a key are counted by
+id: rows that repeat an id count once together, and so do all rows without an id. Bitmaps are kept by
+(id, text), so every row gets its own lines. Keys shorter than ``min_chars`` code points always stay.
+An empty table gives an empty result; further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_rows, written
+from .common import removed, shuffle_partitions, text_rows, written
 
 UPPER, LOWER, STRIPPED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", " \t\n\x0b\x0c\r"
 DROP, OPEN, SUM = 0, 1, 2
@@ -89,10 +90,10 @@ def _streamed(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
             new_key = np.ones(n, bool)
             new_key[1:] = (part["h1"][1:] != part["h1"][:-1]) | (part["h2"][1:] != part["h2"][:-1])
             new_doc = new_key.copy()
-            new_doc[1:] |= (part["doc_id"][1:] != part["doc_id"][:-1]) | (part["text_hash"][1:] != part["text_hash"][:-1]) | (part["null"][1:] != part["null"][:-1])
+            new_doc[1:] |= (part["doc_id"][1:] != part["doc_id"][:-1]) | (part["null"][1:] != part["null"][:-1])
             goes_on = key == (part["h1"][0], part["h2"][0])
             if goes_on:
-                new_doc[0] = last != (part["doc_id"][0], part["text_hash"][0], part["null"][0])
+                new_doc[0] = last != (part["doc_id"][0], part["null"][0])
             elif key is not None:
                 if first_run or docs >= min_docs:
                     yield from _closed(key, docs, held, first_run, min_docs)
@@ -124,7 +125,7 @@ def _streamed(min_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     yield _rows(DROP, _take(part, mask))
                 goes_on = False
             key, docs = (part["h1"][-1], part["h2"][-1]), int(totals[-1])
-            last = (part["doc_id"][-1], part["text_hash"][-1], part["null"][-1])
+            last = (part["doc_id"][-1], part["null"][-1])
             lines = _take(part, tail)
             lines = _join([held, lines]) if held is not None and goes_on else lines
             held = None
@@ -156,16 +157,20 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
     spark = docs.sparkSession
     lines = _documents(docs, id_col, text_col).select("doc_id", "text_hash", F.split("text", "\n").alias("lines")).select("doc_id", "text_hash", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
+    # Written, as finding the bounds of the ranges reads the rows once more.
     hashed = keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos", "n_lines")
-    order = ["h1", "h2", "doc_id", "text_hash"]
-    dealt = hashed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "pos")
+    order = ["h1", "h2", "doc_id"]
+    hashed = written(hashed, "line-hashes")
+    dealt = hashed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, "text_hash", "pos")
     if keep_first:
         found = written(dealt.mapInArrow(_all_but_first, "h1 long, h2 long, doc_id long, text_hash long, pos int, n_lines int, opens boolean"), "firsts")
+        removed(hashed)
         # Only the first line of a partition may continue a key; the smallest of those that open a key stays.
         least = found.where("opens").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("least"))
         opened = found.where("opens").join(least, ["h1", "h2"]).where(F.struct("doc_id", "text_hash", "pos") != F.col("least"))
         return found.where("not opens").select("doc_id", "text_hash", "pos", "n_lines").unionByName(opened.select("doc_id", "text_hash", "pos", "n_lines")).distinct()
     found = written(dealt.mapInArrow(_streamed(min_docs), _OUT), "line-runs")
+    removed(hashed)
     reached = found.where(F.col("kind") == SUM).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     waiting = found.where(F.col("kind") == OPEN).join(reached, ["h1", "h2"])
     columns = ["doc_id", "text_hash", "pos", "n_lines"]
