@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .latex import TAG_FIELDS
+from .text import PROVENANCE_LINE
 
 # Glyphs that symbol fonts leave behind, ligatures, running lines.
 BANK_GLYPHS = "§¨©ª«¬®¯±³´¶·¸¹º»¼½¾¿¦"
@@ -17,7 +18,6 @@ BOOK_JUNK = r"[-\x00-\x09\x0b-\x1f]"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 TUTORIAL_LINES = (r"Tutorial\s*[—|].*", r"H2 MATHEMATICS", r"·", r"9758", r"♦.*")
 BANK_LINES = (r"Topic\s+\d+", r"Level\s*[123]", r"[τ-ύ\s]{1,6}")
-PROVENANCE_LINE = r"\[\s*((?:[A-Z]{1,6}(?:\(JC\))?/)?(?:(?:Prelim|Pelim|Promo)\s*)?(?:19|20)\d{2}[ /][^\[\]]{0,55})\]"
 PROBLEM, SOLUTION, SEPARATOR = r"(?m)^Problem (\d+)\.", r"(?m)^Solution\.", "∗∗∗∗∗"
 
 

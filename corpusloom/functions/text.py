@@ -106,7 +106,8 @@ def is_solution_page(text: Column) -> Column:
 
 # The patterns of question markers, provenance tags, answer headings.
 QUESTION_MARK = r"(?m)^\s*Q(\d+)\.(.*)$"
-PROVENANCE_TAG = r"(?m)^\s*\[\s*((?:[A-Z]{1,6}(?:\(JC\))?/)?(?:(?:Prelim|Pelim|Promo)\s*)?(?:19|20)\d{2}[ /][^\[\]]{0,55})\]\s*$"
+PROVENANCE_LINE = r"\[\s*((?:[A-Z]{1,6}(?:\(JC\))?/)?(?:(?:Prelim|Pelim|Promo)\s*)?(?:19|20)\d{2}[ /][^\[\]]{0,55})\]"
+PROVENANCE_TAG = rf"(?m)^\s*{PROVENANCE_LINE}\s*$"
 ANSWER_HEADING = r"(?m)^\s*(Level\s*[123]|Answers?)\s*$"
 
 

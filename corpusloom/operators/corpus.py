@@ -90,7 +90,7 @@ def require_unique_ids(rows: DataFrame) -> None:
     """Raise if any id is missing or repeated."""
     found = [str(r.id) for r in bad_ids(rows).orderBy("id").limit(5).collect()]
     if found:
-        raise CorpusError(f"missing or duplicate ids: {found}")
+        raise CorpusError(f"every row needs an id of its own; not so: {found}")
 
 
 def unknown_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:

@@ -68,6 +68,11 @@ def key_impact(keyed: DataFrame, old: str = "old_key", new: str = "new_key") ->
     return found.where("merged > 1")
 
 
+def largest_merged(impact: DataFrame, k: int = 20) -> DataFrame:
+    """The ``k`` groups of :func:`key_impact` that join most rows, largest first."""
+    return impact.orderBy(F.col("n").desc(), F.col("merged").desc()).limit(k)
+
+
 def fold_schools(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """``rows`` with the schools that ``aliases`` (alias, school) names folded together."""
     names = aliases.select(F.col("alias").alias("_alias"), F.col("school").alias("_school"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import stats
+
 #: The thresholds of a sweep are steps of 0.05; the accuracy that a cutoff must reach; calibration bins.
 STEPS, TARGET, BINS = 20, 0.95, 10
 RANGES = 256
@@ -63,7 +65,7 @@ def paired_outcomes(first: DataFrame, second: DataFrame) -> DataFrame:
     a = first.select("ord", "y_true", F.col("predicted").alias("a"))
     b = second.select(F.col("ord").alias("_ord"), F.col("predicted").alias("b"))
     joined = a.join(b, a.ord == b["_ord"], "full")
-    missing = F.when(F.col("ord").isNull() | F.col("_ord").isNull(), F.raise_error(F.lit("the two prediction lists must cover the same rows")))
+    missing = F.when(F.col("ord").isNull() | F.col("_ord").isNull(), F.raise_error(F.lit("both sides of a comparison need predictions of the same rows")))
     right_a, right_b = F.coalesce(F.col("a") == F.col("y_true"), F.lit(False)), F.coalesce(F.col("b") == F.col("y_true"), F.lit(False))
     judged = joined.select(F.coalesce(missing.cast("boolean"), right_a).alias("ra"), right_b.alias("rb"))
     return judged.agg(F.count_if(F.col("ra") & F.col("rb")).alias("both_right"), F.count_if(F.col("ra") & ~F.col("rb")).alias("only_a"), F.count_if(~F.col("ra") & F.col("rb")).alias("only_b"), F.count_if(~F.col("ra") & ~F.col("rb")).alias("both_wrong"))
@@ -83,6 +85,13 @@ def sweep(predictions: DataFrame, thresholds: list[float] | None = None) -> Data
     return each.select("threshold", "answered", "total", F.when(F.col("total") > 0, F.col("answered") / F.col("total")).otherwise(0.0).alias("coverage"), F.when(F.col("answered") > 0, F.col("correct") / F.col("answered")).alias("selective_accuracy"), F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0).alias("full_accuracy"))
 
 
+def selective_interval(points: DataFrame) -> DataFrame:
+    """``points`` of a sweep with the Wilson interval of the accuracy of what is answered; nulls where nothing is."""
+    some = points.withColumn("_n", F.greatest(F.col("answered"), F.lit(1)))
+    low, high = stats.wilson_interval(F.coalesce(F.col("selective_accuracy"), F.lit(0.0)) * F.col("answered"), F.col("_n"))
+    return some.withColumns({"low": F.when(F.col("answered") > 0, low), "high": F.when(F.col("answered") > 0, high)}).drop("_n")
+
+
 def select_cutoff(points: DataFrame, target: float = TARGET) -> DataFrame:
     """The lowest threshold whose answered rows reach the target; 0.0 if none does."""
     return points.agg(F.coalesce(F.min(F.when(F.col("selective_accuracy") >= target, F.col("threshold"))), F.lit(0.0)).alias("cutoff"))

@@ -169,12 +169,13 @@ def reports(found: DataFrame, rung: DataFrame, columns: DataFrame | None = None)
         "empty_questions": F.coalesce("empty_questions", F.array().cast("array<int>")),
     })
     listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    # The words "no questions found" and "sequence incomplete".
     problems = F.concat(
         F.when(F.col("questions") == 0, F.array(F.lit("no questions found"))).otherwise(F.array().cast("array<string>")),
         F.when(F.size("missing_numbers") > 0, F.array(F.concat(F.lit("sequence incomplete: 1.."), F.col("highest_number").cast("string"), F.lit(" is missing "), listed("missing_numbers")))).otherwise(F.array().cast("array<string>")),
-        F.when(F.size("duplicated_numbers") > 0, F.array(F.concat(F.lit("question numbers repeat: "), listed("duplicated_numbers")))).otherwise(F.array().cast("array<string>")),
-        F.transform("oversized_questions", lambda q: F.concat(F.lit("question "), q["number"].cast("string"), F.lit(" claims "), F.size(q["pages"]).cast("string"), F.lit(" pages "), listed(q["pages"]), F.lit(f", more than the {MOST_PAGES} allowed"))),
-        F.when(F.size("empty_questions") > 0, F.array(F.concat(F.lit("questions with no text: "), listed("empty_questions")))).otherwise(F.array().cast("array<string>")),
+        F.when(F.size("duplicated_numbers") > 0, F.array(F.concat(F.lit("numbers given more than once: "), listed("duplicated_numbers")))).otherwise(F.array().cast("array<string>")),
+        F.transform("oversized_questions", lambda q: F.concat(F.lit("question "), q["number"].cast("string"), F.lit(" spans "), F.size(q["pages"]).cast("string"), F.lit(" pages "), listed(q["pages"]), F.lit(f", where {MOST_PAGES} are the most"))),
+        F.when(F.size("empty_questions") > 0, F.array(F.concat(F.lit("nothing to read in questions "), listed("empty_questions")))).otherwise(F.array().cast("array<string>")),
     )
     return full.withColumn("problems", problems).withColumn("trustworthy", F.size("problems") == 0).withColumnRenamed("scanned", "pages_without_text_layer").drop("numbers")
 

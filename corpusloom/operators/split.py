@@ -161,10 +161,10 @@ def split_rows(rows: DataFrame, seed: int = 42, min_test_rows: int = MIN_TEST_RO
     labels = dims.labels(spark) if labels is None else labels
     corpus_ids = [str(r.id) for r in corpus.bad_ids(rows).orderBy("id").limit(5).collect()]
     if corpus_ids:
-        raise RowConservationError(f"input rows carry missing or duplicate ids: {corpus_ids}")
+        raise RowConservationError(f"every row needs an id of its own; not so: {corpus_ids}")
     unknown = [r.chapter for r in corpus.unknown_labels(rows, labels).collect()]
     if unknown:
-        raise SplitIntegrityError(f"unknown chapter slugs in input: {sorted(map(str, unknown))}")
+        raise SplitIntegrityError(f"labels unknown to the dictionary: {sorted(map(str, unknown))}")
     keyed = groups.with_group_key(rows)
     slugs = [r.slug for r in labels.orderBy("class_id").collect()]
     of_label = [F.count_if(F.col("chapter") == x).alias(f"c{i}") for i, x in enumerate(slugs)]

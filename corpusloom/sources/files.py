@@ -47,10 +47,11 @@ def read_extractions(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _texts(spark: SparkSession, pattern: str) -> DataFrame:
-    """path, name, folder, raw of whole text files."""
+    """path, name, folder, raw and ord of whole text files, which ascend by path."""
     found = spark.read.text(pattern, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
     parts = F.split("path", "/")
-    found = found.orderBy("path")
+    # Partitions of the sorted files ascend, and so do the numbers within them.
+    found = found.orderBy("path").withColumn("ord", F.monotonically_increasing_id())
     return found.withColumns({"name": F.element_at(parts, -1), "folder": F.element_at(parts, -2), "parent": F.element_at(parts, -3)})
 
 
@@ -67,7 +68,7 @@ def revision_packages(spark: SparkSession, root: str) -> DataFrame:
     files = _required(files.withColumn("tags", tags), F.size("tags") == 1, F.concat(F.lit("expected exactly one qend in "), "path"))
     read = files.withColumns({"prose": latex.to_prose("raw"), "p": latex.parse_provenance(F.get("tags", 0))})
     row_id = F.concat(F.lit("rp:"), "folder", F.lit(":"), F.regexp_replace("name", r"_q\.tex$", ""))
-    return read.select(row_id.alias("id"), "chapter", "prose.text", F.col("raw").alias("raw_text"), F.lit("revision_package").alias("source"), "p.year", "p.school", "p.level", "p.exam", "p.paper", "p.question_no", "p.modified", tx.marks(F.col("raw")).alias("marks"), "path", "prose.dropped", "p.unparsed")
+    return read.select(row_id.alias("id"), "ord", "chapter", "prose.text", F.col("raw").alias("raw_text"), F.lit("revision_package").alias("source"), "p.year", "p.school", "p.level", "p.exam", "p.paper", "p.question_no", "p.modified", tx.marks(F.col("raw")).alias("marks"), "path", "prose.dropped", "p.unparsed")
 
 
 def tutorials(spark: SparkSession, root: str) -> DataFrame:
@@ -75,11 +76,11 @@ def tutorials(spark: SparkSession, root: str) -> DataFrame:
     files = corpus.resolve_labels(_texts(spark, f"{root}/*/*.tex").where(~F.lower("name").contains("solutions")), "folder")
     files = _required(files, F.col("chapter").isNotNull(), F.concat(F.lit("unrecognised chapter folder: "), "folder"))
     body = F.get(F.split("raw", r"\\begin\{document\}", 2), 1)
-    chunks = files.select("folder", "chapter", "path", F.posexplode(latex.split_tutorial(body)).alias("at", "chunk"))
+    chunks = files.select("folder", "chapter", "path", "ord", F.posexplode(latex.split_tutorial(body)).alias("at", "chunk"))
     read = chunks.withColumn("prose", latex.to_prose(tx.without_mark_counts(F.col("chunk"))))
     n = F.col("at") + 1
     row_id = F.concat(F.lit("tut:"), "folder", F.lit(":q"), F.when(n < 10, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string")))
-    return read.select(row_id.alias("id"), "chapter", "prose.text", F.col("chunk").alias("raw_text"), F.lit("tutorial_latex").alias("source"), F.lit(False).alias("modified"), tx.tutorial_marks(F.col("chunk")).alias("marks"), "path", "prose.dropped")
+    return read.select(row_id.alias("id"), (F.shiftleft("ord", 16) + F.col("at")).alias("ord"), "chapter", "prose.text", F.col("chunk").alias("raw_text"), F.lit("tutorial_latex").alias("source"), F.lit(False).alias("modified"), tx.tutorial_marks(F.col("chunk")).alias("marks"), "path", "prose.dropped")
 
 
 def read_ledger(spark: SparkSession, pattern: str) -> tuple[DataFrame, DataFrame]:
