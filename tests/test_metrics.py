@@ -141,3 +141,34 @@ def test_stream_keeps_latest(spark, tmp_path):
     found = {r.k: r.v for r in ledger_stream.current(spark, out, "k").collect()}
     assert found == {"a": 2, "b": 1}
     assert F is not None
+
+
+def test_fit_reaches_the_minimum_in_few_passes(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.sql import functions as F
+
+    from corpusloom.ml import regression
+
+    rng = np.random.default_rng(5)
+    common, rare = [f"w{i}" for i in range(30)], [f"r{i}" for i in range(400)]
+    rows = [(" ".join([*rng.choice(common[k * 8 : k * 8 + 14], 9), *rng.choice(rare, 2), "é" * (i % 2)]), "abc"[k]) for i in range(240) for k in (i % 3,)]
+    rows += [("", "a"), (None, "b")]
+    df = spark.createDataFrame(rows, "text string, chapter string")
+    passes, sums = [], regression._plus
+    added = regression._added
+    monkeypatch.setattr(regression, "_added", lambda parts, plus: (passes.append(plus is sums), added(parts, plus))[1])
+    fitted = model.fit(df)
+    assert sum(passes) < 100
+    vectors = fitted._vectors(df).withColumn("label", F.ascii("chapter").cast("double") - 97).join(model.groups.class_weights(df).select("chapter", "weight"), "chapter")
+    spark_s = LogisticRegression(family="multinomial", weightCol="weight", standardization=False, maxIter=3000, tol=1e-12, regParam=1.0 / len(rows)).fit(vectors)
+    assert np.allclose(fitted.classifier.coefficientMatrix.toArray(), spark_s.coefficientMatrix.toArray(), atol=1e-3)
+    assert np.allclose(fitted.classifier.interceptVector.toArray(), spark_s.interceptVector.toArray(), atol=1e-3)
+
+
+def test_terms_are_ranked_by_count_then_text(spark):
+    from corpusloom.ml import features
+
+    rows = spark.createDataFrame([(["b", "a", "b"],), (["a", "b"],), (["c"],)], "words array<string>")
+    assert [tuple(r) for r in features.vocabulary(rows).collect()] == [("b", 3, 2), ("a", 2, 2), ("a b", 2, 2)][:3]
+    assert [r.term for r in features.vocabulary(rows, 2, 1).collect()] == ["b", "a"]
