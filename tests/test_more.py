@@ -1,6 +1,7 @@
 """Ledger comparisons, report sections, row checks, splits of single rows, configuration and the command line."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,30 @@ def test_reader_reads_each_part_once():
     deep = r"\frac{" * 5_000
     assert latex.prose(deep)[0] == "" and latex.prose("{" * 100_000)[0] == ""
     assert latex.prose(r"\text{a \mk{3} b} \sqrt[n]{\frac{x}{y}} \vspace{1cm}c \foo \bar{z}") == ("a b root n of x / y c z", ["foo"])
+
+
+def test_long_tfidf_shuffles_chunks_not_words(spark, monkeypatch):
+    import math
+    from collections import Counter, defaultdict
+
+    from corpusloom.ml import features
+
+    monkeypatch.setattr(features, "CHUNK", 4)
+    rows = [(i, "xy"[i % 2], f"Word{i % 3} word{i % 4} word1 ß_é a alone{i}") for i in range(40)]
+    rows += [(5, "y", "word1 word9"), (5, "x", "word2 word2"), (None, "x", "word1 word2"), (None, "x", "word3"), (None, None, "word3"), (50, "x", None), (51, "x", "")]
+    df = spark.createDataFrame(rows, "id long, chapter string, text string")
+    counts = defaultdict(Counter)
+    for i, c, t in rows:
+        counts[i, c].update(re.findall("[a-z0-9_]{2,}", (t or "").lower()))
+    seen = Counter(t for c in counts.values() for t in c)
+    v = {(i, c, t): (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + seen[t])) + 1) for (i, c), own in counts.items() for t, n in own.items() if seen[t] >= 2}
+    norm = Counter()
+    for (i, _, _), x in v.items():
+        norm[i] += x * x
+    got = features.long_tfidf(df, "id")
+    found = {(r.id, r.chapter, r.term): r.tfidf for r in got.collect()}
+    assert got.count() == len(found) and found.keys() == v.keys()
+    assert all(abs(found[k] - x / math.sqrt(norm[k[0]])) < 1e-12 for k, x in v.items())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"hashpartitioning\((\w+)#", plan)) <= {"chunk", "term"} and "Generate" in plan
+    assert features.long_tfidf(df.where("id > 49"), "id").count() == 0 and features.long_tfidf(df.where("id > 99"), "id").count() == 0
