@@ -69,7 +69,7 @@ class EliasFano:
     """A non-decreasing sequence of 64-bit numbers: low bits packed, high bits in unary.
 
     ``find`` is a successor search: the zeros of the unary part give where the numbers of one high
-    part begin, and the low bits of those few are compared.
+    part begin; among those, which may be many, the low bits are searched by halves.
     """
 
     SAMPLE = 8  # one position for every so many 64-bit words of the unary part
@@ -143,13 +143,17 @@ class EliasFano:
         at, end = self._begins(high), self._begins(high + 1)
         if low_end is not None:
             at, end = np.maximum(at, low_end), np.minimum(end, high_end)
-        out, todo = np.full(len(values), -1, np.int64), np.flatnonzero(at < end)
-        while len(todo):
-            own = self.lows(at[todo])
-            out[todo[own == low[todo]]] = at[todo[own == low[todo]]]
-            todo = todo[own < low[todo]]
-            at[todo] += 1
+        found = np.flatnonzero(at < end)
+        at, end, low = at[found], end[found] - 1, low[found]
+        todo = np.flatnonzero(at < end)
+        while len(todo):  # halve what is left of each, until one place is
+            middle = (at[todo] + end[todo]) >> 1
+            less = self.lows(middle) < low[todo]
+            at[todo[less]], end[todo[~less]] = middle[less] + 1, middle[~less]
             todo = todo[at[todo] < end[todo]]
+        out = np.full(len(values), -1, np.int64)
+        hit = self.lows(at) == low
+        out[found[hit]] = at[hit]
         return out
 
     def parts(self) -> list[np.ndarray]:

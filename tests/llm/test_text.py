@@ -294,6 +294,15 @@ def test_elias_fano(values, asked):
     assert sequence.get(np.arange(len(v))).tolist() == v.tolist()
 
 
+def test_elias_fano_of_many_numbers_with_one_high_part(monkeypatch):
+    v = np.append(np.arange(0, 60_000, 3, dtype=np.uint64), np.uint64((1 << 40) - 1))
+    sequence, seen = ngram_lm.EliasFano.of(v, 1 << 40), []
+    own = ngram_lm.EliasFano.lows
+    monkeypatch.setattr(ngram_lm.EliasFano, "lows", lambda self, at: seen.append(len(at)) or own(self, at))
+    assert sequence.find(np.arange(60_000, dtype=np.uint64)).tolist() == [i // 3 if i % 3 == 0 else -1 for i in range(60_000)]
+    assert len(seen) <= 20 and sum(seen) <= 20 * 60_000  # halving, not one place after the other
+
+
 def test_trie_against_dict():
     rng = np.random.default_rng(2)
     bits = np.uint64(ngram_lm.WORD_BITS)
